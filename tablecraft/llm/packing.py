@@ -13,6 +13,7 @@ are and find their place from their rank.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -31,6 +32,13 @@ CACHED_LENGTH = 64
 TAILS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
+def parts_of(text: str) -> list[str]:
+    """Python splits at four separators that the tokenizer does not take for white space."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return [p for p in re.split(r"[ \t\n\r\f\v]+", text) if p]
+    return text.split()
+
+
 class WordEncoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
@@ -92,7 +100,7 @@ class WordEncoder:
         return got | dict(zip(odd, (array("I", x).tobytes() for x in self._ids(odd)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split() for t in texts]
+        split = [parts_of(t) for t in texts]
         distinct = set().union(*split)
         if len(self.parts) > CACHED_WORDS:
             self.parts.clear()
