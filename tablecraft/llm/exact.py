@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from .common import arrow_map, small, text_or_empty, written
 
 CHUNK = 1 << 15
-#: Texts above so many characters are dealt out to tasks by chunks.
-HUGE = 1 << 24
 #: Primes below 2**31 and a base for each: products fit in 64 bits.
 FIELDS = ((2147483647, 1000003), (2147483629, 998244353), (2147483587, 754974721))
 

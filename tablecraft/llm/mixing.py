@@ -74,12 +74,11 @@ def thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
             F.sum("size").alias("sum"), F.min("hash").alias("low"), F.max("hash").alias("high")
         )
         order = Window.partitionBy("source").orderBy("bucket")
-        sums = sums.withColumn("upto", F.sum("sum").over(order))
+        sums = sums.withColumn("upto", F.sum("sum").over(order)).withColumn("last", F.lead("bucket").over(order).isNull())
         # The bucket where the running sum passes what is left; the last one if it never does.
-        last = F.lead("bucket").over(order).isNull()
         edge = sums.where(
             ((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("sum") <= F.col("rest")))
-            | (last & (F.col("upto") <= F.col("rest")))
+            | (F.col("last") & (F.col("upto") <= F.col("rest")))
         )
         edge = edge.groupBy("source").agg(
             F.min_by(F.struct("bucket", "rest", "sum", "upto", "low", "high"), "bucket").alias("e")
