@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact import exact_duplicates
+from .media import media_digests, store_flac
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .packing import pack_documents
+from .substrings import drop_repeated_passages
 from .toxicity import fit_toxicity, score_toxicity
 
 
@@ -19,6 +22,10 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(store_flac(_table(spark, sf_dir, "documents")))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -27,6 +34,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_passages(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return score_toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
@@ -40,8 +52,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_source_mix,
+        op3_flac_media,
         op4_best_fit_packing,
         op6_exact_dedup,
+        op8_substring_dedup,
         op9_toxicity,
         op10_minhash_near_dedup,
     )
@@ -88,5 +102,27 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
     doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
+""",
+    "op8_substring_dedup": """
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+), owner AS (
+    SELECT h, min(doc_id) AS first FROM windows GROUP BY h
+), hits AS (
+    SELECT doc_id, i FROM windows JOIN owner USING (h) WHERE first < doc_id
+), gone AS (
+    SELECT DISTINCT doc_id, i + k AS p FROM hits, (SELECT unnest(range(50)) AS k)
+), placed AS (
+    SELECT doc_id, p, w[p] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)
+), kept AS (
+    SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text
+    FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+    sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
 """,
 }
