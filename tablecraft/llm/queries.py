@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_chats
 from .exact import exact_duplicates
 from .media import media_digests, store_flac
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .packing import pack_documents
+from .secrets import scan_secrets
 from .substrings import drop_repeated_passages
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -30,10 +32,18 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_repeated_passages(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -54,7 +64,9 @@ QUERIES = {
         op1_source_mix,
         op3_flac_media,
         op4_best_fit_packing,
+        op5_secret_scan,
         op6_exact_dedup,
+        op7_chat_format,
         op8_substring_dedup,
         op9_toxicity,
         op10_minhash_near_dedup,
@@ -124,5 +136,65 @@ WITH d AS (
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
     sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
+""",
+    "op5_secret_scan": """
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS text FROM documents
+), patterns AS (
+    SELECT unnest(['assign', 'access', 'hex', 'secret', 'endpoint']) AS kind, unnest([
+        '((?i:password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)',
+        'AKIA[A-Z0-9]{12,}', '[0-9a-f]{32,}', '[A-Za-z0-9/+=]{40,}', 'https?://[^\\x20\\x09-\\x0D"''<>]+']) AS p,
+        unnest([1, 2, 3, 4, 5]) AS nth
+), raw AS (
+    SELECT doc_id, kind, nth, regexp_extract_all(text, p) AS hits, regexp_split_to_array(text, p) AS gaps,
+        CASE WHEN kind = 'assign' THEN regexp_extract_all(text, p, 2) ELSE regexp_extract_all(text, p) END AS vals
+    FROM d, patterns
+), hits AS (
+    SELECT doc_id, kind, nth, unnest(range(1, len(hits) + 1)) AS i, unnest(hits) AS hit, unnest(vals) AS val,
+        unnest(gaps[1:len(hits)]) AS gap
+    FROM raw WHERE len(hits) > 0
+), placed AS (
+    SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS "end" FROM hits
+), spans AS (
+    SELECT doc_id, kind, nth, "end" - length(hit) AS start, "end" FROM placed
+    WHERE (kind <> 'assign' OR length(val) >= 8) AND (kind <> 'secret' OR (length(val) = 40
+        AND regexp_matches(val, '[a-z]') AND regexp_matches(val, '[A-Z]') AND regexp_matches(val, '[0-9]')))
+), linked_secret AS (
+    SELECT * FROM spans s WHERE kind = 'secret' AND EXISTS (SELECT 1 FROM spans a
+        WHERE a.doc_id = s.doc_id AND a.kind = 'access' AND abs(a.start - s.start) <= 500)
+), linked AS (
+    SELECT * FROM linked_secret UNION ALL
+    SELECT * FROM spans s WHERE kind = 'endpoint' AND EXISTS (SELECT 1 FROM spans a
+        WHERE a.doc_id = s.doc_id AND a.kind = 'access' AND abs(a.start - s.start) <= 500)
+    AND EXISTS (SELECT 1 FROM (SELECT * FROM spans WHERE kind = 'assign' UNION ALL SELECT * FROM linked_secret) a
+        WHERE a.doc_id = s.doc_id AND abs(a.start - s.start) <= 500)
+), reported AS (
+    SELECT * FROM spans WHERE nth <= 3 UNION ALL SELECT * FROM linked
+), listed AS (
+    SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+        count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (nth > 3) AS n_linked,
+        string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST("end" AS BIGINT), ',' ORDER BY start, nth) FILTER (nth <= 3) AS base,
+        string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST("end" AS BIGINT), ',' ORDER BY start, nth) AS spans
+    FROM reported GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    coalesce(n_linked, 0) AS n_linked, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN listed USING (doc_id)
+""",
+    "op7_chat_format": """
+WITH t AS (
+    SELECT conv_id, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
+        '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS part
+    FROM conversations WHERE conv_id IS NOT NULL
+    WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)
+), prefixes AS (
+    SELECT conv_id, pos, n, md5(string_agg(part, '') OVER (PARTITION BY conv_id ORDER BY pos)) AS h FROM t
+), whole AS (
+    SELECT conv_id, max(n) AS n_turns, string_agg(part, '' ORDER BY pos) AS chat FROM t GROUP BY conv_id
+), alike AS (
+    SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_copies, chat FROM whole GROUP BY n_turns, chat
+)
+SELECT conv_id, n_turns, n_copies, chat FROM alike
+WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.pos = n_turns AND p.n > n_turns AND p.h = md5(chat))
 """,
 }
