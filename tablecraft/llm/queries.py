@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat import format_chats
 from .exact import exact_duplicates
+from .lines import line_duplicates
 from .media import media_digests, store_flac
 from .mixing import mix_sources
 from .neardup import near_duplicates
@@ -24,6 +25,10 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(store_flac(_table(spark, sf_dir, "documents")))
 
@@ -62,6 +67,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_source_mix,
+        op2_line_dedup,
         op3_flac_media,
         op4_best_fit_packing,
         op5_secret_scan,
