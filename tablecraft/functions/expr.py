@@ -746,7 +746,7 @@ class ExistsValue(Exists):
     """EXISTS in a projection: never null. Over a semi join there is nothing to project, so a count decides."""
 
     def to_column(self, scope: Scope) -> Column:
-        n = self.query.lower(scope.inside()).agg(F.count(F.lit(1))).scalar()
+        n = self.query.lower(scope.inside()).select(F.count(F.lit(1))).scalar()
         return (n == 0) if self.negated else (n > 0)
 
 

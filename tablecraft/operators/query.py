@@ -487,7 +487,7 @@ class Query(_Readable):
         df = df.select(*out, *hidden)
         df = df.distinct() if self.distinct else df
         df = self._finish(df, orders)
-        return df.select(*[F.col(f"__s{i}") for i in range(len(out))]).toDF(*self._names())
+        return df.select(*[F.col(f"__s{i}").alias(n) for i, n in enumerate(self._names())])
 
     def _grouped(self, df: DataFrame, scope: Scope) -> DataFrame:
         out = [e.to_column(scope).alias(f"__s{i}") for i, e in enumerate(self.projection)]
@@ -500,9 +500,12 @@ class Query(_Readable):
                 extra.append(o.expr.to_column(scope).alias(f"__o{i}"))
             orders.append(o.apply(F.col(f"__o{i}" if place is None else f"__s{place}")))
         keys = [g.to_column(scope) for g in self.groups]
-        got = df.groupBy(*keys).agg(*out, *extra)
-        names = [*(f"__k{i}" for i in range(len(keys))), *(f"__s{i}" for i in range(len(out)))]
-        got = got.toDF(*names, *got.columns[len(names) :])
+        if keys:
+            got = df.groupBy(*keys).agg(*out, *extra)
+            names = [*(f"__k{i}" for i in range(len(keys))), *(f"__s{i}" for i in range(len(out)))]
+            got = got.toDF(*names, *got.columns[len(names) :])
+        else:
+            got = df.select(*out, *extra)  # stays open for references to an outer query
         if self.having_ is not None:
             got = got.where("__having")
         visible = [f"__s{i}" for i in range(len(out))]
@@ -510,7 +513,8 @@ class Query(_Readable):
             if any(self._order_place(o) is None for o in self.orders):
                 raise QueryShapeError("a distinct query is ordered by its own columns")
             got = got.select(*visible).distinct()
-        return self._finish(got, orders).select(*visible).toDF(*self._names())
+        named = [F.col(v).alias(n) for v, n in zip(visible, self._names(), strict=True)]
+        return self._finish(got, orders).select(*named)
 
 
 def _exprs(columns: Sequence[str | Expr]) -> tuple[Expr, ...]:
