@@ -59,7 +59,7 @@ class Repository:
         names = self.table.primary_key
         if not names:
             raise QueryShapeError(f"{self.table.name} has no key")
-        values = key if isinstance(key, tuple) else tuple(key[n] for n in names) if isinstance(key, dict | Row) else (key,)
+        values = tuple(key[n] for n in names) if isinstance(key, dict | Row) else key if isinstance(key, tuple) else (key,)
         if len(values) != len(names):
             raise ArgumentError(f"the key of {self.table.name} has {len(names)} parts")
         return [self.table[n].eq(v) for n, v in zip(names, values, strict=True)]
