@@ -107,25 +107,39 @@ def test_mix_edges(spark, empty, docs):
 # --- 2. Lines.
 
 
+def line_tokens(line):
+    w = words_of(line)
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else None
+
+
 def brute_lines(rows):
     lines = []
     for i, text, *_ in rows:
         for n, line in enumerate((text or "").split("\n")):
-            if w := frozenset(words_of(line)):
-                lines.append((i, n, w))
+            if t := line_tokens(line):
+                lines.append((i, n, t))
     lines.sort(key=lambda x: x[:2])
     out = defaultdict(list)
-    for k, (i, n, w) in enumerate(lines):
-        gone = any(100 * len(w & o) >= 75 * len(w | o) for _, _, o in lines[:k])
+    for k, (i, n, t) in enumerate(lines):
+        gone = any(100 * len(t & o) >= 75 * len(t | o) for _, _, o in lines[:k])
         out[i].append((n, gone))
     return out
 
 
 def test_lines_against_brute_force(docs, empty):
     rng = random.Random(3)
-    rows = [(i, "\n".join(said(rng, rng.randrange(1, 9)) if rng.random() < 0.7 else f"w1 w2 w3 w{k} w{k % 3}" for k in range(6)), "", "", 0) for i in range(40)]
+    base = [rng.choices(WORDS[:60], k=rng.randrange(8, 70)) for _ in range(8)]
+
+    def line():
+        words = list(rng.choice(base))
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(len(words))] = "new"
+        return " ".join(words) if rng.random() < 0.7 else said(rng, rng.randrange(1, 7))
+
+    rows = [(i, "\n".join(line() for _ in range(6)), "", "", 0) for i in range(40)]
     table = docs.sparkSession.createDataFrame(rows, SCHEMA)
     want, got = brute_lines(rows), rows_of(line_duplicates(table))
+    assert sum(r["n_links"] for r in got.values()) > 50
     for i, r in got.items():
         kept = ",".join(str(n) for n, gone in want[i] if not gone)
         assert (r["n_lines"], r["n_removed"]) == (len(want[i]), sum(g for _, g in want[i]))
@@ -136,7 +150,7 @@ def test_lines_against_brute_force(docs, empty):
 
 
 def test_lines_are_dropped(spark):
-    rows = [(1, "a b c d\nx\n\nlast", "", "", 0), (2, "q r s\nd c b a\nx\n", "", "", 0), (3, None, "", "", 0)]
+    rows = [(1, "a b c d\nx\n\nlast", "", "", 0), (2, "q r s\na b  c d\nx\n", "", "", 0), (3, None, "", "", 0)]
     got = rows_of(drop_repeated_lines(spark.createDataFrame(rows, SCHEMA)))
     assert {i: r["text"] for i, r in got.items()} == {1: rows[0][1], 2: "q r s\n", 3: None}
 
