@@ -15,6 +15,8 @@ SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: A side of a join is broadcast only when it was counted and has at most so many rows.
 BROADCAST_ROWS = 100_000
+#: The same by the bytes of a written table's files, for rows with arrays.
+BROADCAST_BYTES = 32_000_000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -51,6 +53,12 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def light(df: DataFrame) -> DataFrame:
+    """A written table marked for broadcast if its files have at most ``BROADCAST_BYTES``; rows may be wide."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
@@ -66,6 +74,11 @@ def word_count(text: str) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, SPACE_RUN))).cast("long")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where a lambda within it uses it for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def arrow_map(
     df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str
 ) -> DataFrame:
