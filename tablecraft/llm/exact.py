@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, small, text_or_empty, written
 
 CHUNK = 1 << 15
+#: Rows of a group that are compared in one task.
+GROUP_ROWS = 64
 #: Primes below 2**31 and a base for each: products fit in 64 bits.
 FIELDS = ((2147483647, 1000003), (2147483629, 998244353), (2147483587, 754974721))
 
@@ -134,7 +136,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     prints = written(fingerprints(docs, id_col, text_col), "fingerprints")
     groups = prints.groupBy(*PRINT).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = written(groups.where("group_size > 1"), "groups")
-    members = prints.join(small(groups), PRINT).select("doc_id", "keep_id", *PRINT)
+    members = prints.join(small(groups), PRINT).select("doc_id", "keep_id", "group_size", *PRINT)
     wrong = differing(docs, written(members, "members"), id_col, text_col)
     by_digest = ["text_sha256", *PRINT]
     if wrong.isEmpty():
@@ -162,8 +164,13 @@ def differing(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     ours = texts.join(small(members.distinct()), "doc_id").where(F.octet_length("text") == F.col("n_bytes"))
     n = F.greatest(F.lit(1), F.ceil(F.length("text") / CHUNK)).cast("int")
-    cut = ours.select("doc_id", "keep_id", *PRINT, "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("at"))
+    cut = ours.select("doc_id", "keep_id", "group_size", *PRINT, "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("at"))
     cut = cut.withColumn("part", F.substring("text", F.col("at") * CHUNK + 1, F.lit(CHUNK))).drop("text")
-    first = cut.where(F.col("doc_id") == F.col("keep_id")).groupBy(*PRINT, "at").agg(F.min("part").alias("first"))
+    # A large group is dealt to several tasks, each with a copy of its first text.
+    salts = F.ceil(F.col("group_size") / GROUP_ROWS).cast("int")
+    key = [*PRINT, "at", "salt"]
+    stays = cut.where(F.col("doc_id") == F.col("keep_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    first = stays.groupBy(*key).agg(F.min("part").alias("first"))
     others = cut.where(F.col("doc_id") != F.col("keep_id"))
-    return others.join(first, [*PRINT, "at"]).where(F.col("part") != F.col("first")).select("doc_id").limit(1)
+    others = others.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int"))
+    return others.join(first, key).where(F.col("part") != F.col("first")).select("doc_id").limit(1)
