@@ -55,7 +55,7 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def light(df: DataFrame) -> DataFrame:
     """A written table marked for broadcast if its files have at most ``BROADCAST_BYTES``; rows may be wide."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
