@@ -7,8 +7,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tablecraft.plans import catalogue
 
-NAMES = sorted(entry.queries())
+NAMES = sorted(catalogue.QUERIES)
 
 
 @pytest.fixture(scope="module")
