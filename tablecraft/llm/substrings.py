@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, small, written
+from .common import arrow_map, light, written
 from .shingles import mixed, text_words, word_hashes, words_of
 
 GRAM = 8
@@ -151,7 +151,7 @@ def repeated_runs(docs: DataFrame, owners: DataFrame, window: int) -> DataFrame:
         cat = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
         return {"doc_id": cat(ids, np.int64), "at": cat(at, np.int32), "r0": cat(r0, np.int64), "r1": cat(r1, np.int64)}
 
-    texts = docs.join(small(marked, 30_000), "doc_id").select("doc_id", "text", "low")
+    texts = docs.join(light(marked), "doc_id").select("doc_id", "text", "low")
     found = written(arrow_map(texts, runs, "doc_id long, at int, r0 long, r1 long"), "runs")
     owned = found.groupBy("r0", "r1").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
     owned = owned.where("owner < last").drop("last")
@@ -178,7 +178,7 @@ def matched_spans(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
                 out["part"].append(" ".join(words[m["start"] : m["start"] + m["runs"] + window - 1]))
         return out
 
-    texts = docs.join(small(marks, 30_000), "doc_id").select("doc_id", "text", "marks")
+    texts = docs.join(light(marks), "doc_id").select("doc_id", "text", "marks")
     parts = written(arrow_map(texts, cut, "owner long, doc_id long, start int, part string"), "parts")
     shards = parts.where("owner = doc_id").groupBy("owner").agg(F.sort_array(F.collect_set("part")).alias("shard"))
     pairs = parts.where("owner < doc_id").join(shards, "owner").select("owner", "shard", "doc_id", "start", "part")
@@ -264,5 +264,5 @@ def drop_repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "doc
             out["kept_text"].append(" ".join(left))
         return {"doc_id": batch.column(0), **out}
 
-    joined = rows.join(small(gone), "doc_id", "left").select("doc_id", "text", "spans", "found")
+    joined = rows.join(light(gone), "doc_id", "left").select("doc_id", "text", "spans", "found")
     return arrow_map(joined, keep, "doc_id long, n_words long, n_removed long, kept_text string")
