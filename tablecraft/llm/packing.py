@@ -12,6 +12,7 @@ are and find their place from their rank.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, written
 
 #: An encoder forgets what it has seen beyond so many words; longer ones are not kept.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 CACHED_LENGTH = 64
 TAILS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 
@@ -113,6 +114,12 @@ class WordEncoder:
         return [b"".join([parts[p] for p in s]) for s in split]
 
 
+@functools.cache
+def encoder_for(tokenizer: str) -> WordEncoder:
+    """One per worker process: later tasks find the words that earlier ones have met."""
+    return WordEncoder(tokenizer)
+
+
 def by_size(texts: list[str | None], most: int = 2_000_000) -> Iterator[list[str]]:
     """Runs of texts of some two million characters; null counts as empty."""
     run: list[str] = []
@@ -175,7 +182,7 @@ def pieces_of(
 
     def cut(batch: pa.RecordBatch) -> dict:
         if "encoder" not in state:
-            state.update(encoder=WordEncoder(tokenizer), ranks=[0] * (capacity + 1))
+            state.update(encoder=encoder_for(tokenizer), ranks=[0] * (capacity + 1))
         encoder, ranks = state["encoder"], state["ranks"]
         rows = []
         coded = (x for run in by_size(batch.column(1).to_pylist()) for x in encoder.encode(run))
