@@ -149,6 +149,36 @@ def test_lines_against_brute_force(docs, empty):
     assert line_duplicates(empty).count() == 0
 
 
+def test_lines_by_words_against_brute_force(docs):
+    """A changed word in a short line loses all runs of five over it, but one word of the set."""
+    rng = random.Random(7)
+    base = [rng.choices(WORDS[:60], k=rng.randrange(4, 20)) for _ in range(8)]
+
+    def line():
+        words = list(rng.choice(base))
+        words[rng.randrange(len(words))] = rng.choice(WORDS)
+        return " ".join(words)
+
+    rows = [(i, "\n".join(line() for _ in range(6)), "", "", 0) for i in range(40)]
+    for table, of in ((docs.sparkSession.createDataFrame(rows, SCHEMA), rows), (docs, corpus())):
+        got = rows_of(line_duplicates(table, run=1))
+        sets = sorted((i, n, frozenset(words_of(x))) for i, t, *_ in of for n, x in enumerate((t or "").split("\n")) if words_of(x))
+        alike = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+        kept = defaultdict(list)
+        for k, (i, n, s) in enumerate(sets):
+            if not any(alike(s, o) for _, _, o in sets[:k]):
+                kept[i].append(str(n))
+        first = {s: (i, n) for i, n, s in reversed(sets)}
+        links = Counter()
+        for i, _, s in sets:
+            links[i] += sum(alike(s, o) for o in first if o != s)
+        for i, r in got.items():
+            assert r["kept_lines_sha256"] == hashlib.sha256(",".join(kept[i]).encode()).hexdigest()
+            assert r["n_links"] == links[i]
+        if of is rows:
+            assert sum(links.values()) > 50
+
+
 def test_lines_are_dropped(spark):
     rows = [(1, "a b c d\nx\n\nlast", "", "", 0), (2, "q r s\na b  c d\nx\n", "", "", 0), (3, None, "", "", 0)]
     got = rows_of(drop_repeated_lines(spark.createDataFrame(rows, SCHEMA)))
