@@ -579,3 +579,23 @@ def test_pipeline(spark, sf_dir):
     got = Counter(r["doc_id"] for r in result.where("piece = 0").collect())
     assert got == +want
     assert [name for name, _ in p.STAGES] == ["toxicity", "exact dedup", "near-dedup", "source mix", "packing"]
+
+
+def test_pipeline_dedups_rows_of_any_ids(spark):
+    """Null ids and one id on several texts: what goes is told by id and text, not by id."""
+    import corpus_pipeline as p
+
+    rng = random.Random(9)
+    texts = [said(rng, 40) for _ in range(9)]
+    changed = texts[4].rsplit(" ", 1)[0] + " changed"
+    rows = [(None, t, "", "", k) for k, t in enumerate(texts[:3])] + [(None, texts[0], "", "", 9), (None, texts[5], "", "", 0)]
+    rows += [(1, texts[3], "", "", 0), (1, texts[3], "", "", 7), (1, texts[4], "", "", 0), (2, changed, "", "", 0), (2, texts[5], "", "", 0)]
+    rows += [(3, texts[6], "", "", 0), (4, texts[6], "", "", 0), (3, texts[7], "", "", 0), (None, None, "", "", 0), (5, "", "", "", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    keys = lambda df: sorted((r["doc_id"] or 0, r["text"] or "", r["n_chars"]) for r in df.collect())
+    exact = p.exact_dedup(spark, docs, "")
+    want = [(0, t, k) for k, t in enumerate(texts[:3])] + [(0, texts[0], 9), (1, texts[3], 0), (1, texts[4], 0), (2, changed, 0), (2, texts[5], 0)]
+    want += [(4, texts[6], 0), (3, texts[7], 0), (5, "", 0)]
+    assert keys(exact) == sorted(want)
+    assert keys(p.near_dedup(spark, exact, "")) == sorted(w for w in want if w[1] != changed)
+    assert exact.columns == docs.columns
