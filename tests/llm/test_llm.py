@@ -473,6 +473,32 @@ def test_toxicity_held_out(toxic_corpus, empty):
     assert kept.count() == sum(not r["predicted"] for r in rows)
 
 
+def test_toxicity_counts_all_expressions(toxic_corpus, spark):
+    """Ratios of every expression of the labelled rows, also of one seen once, by counts over all documents."""
+    docs, labels = toxic_corpus
+    docs = docs.unionByName(spark.createDataFrame([(3001, "vile vile abhorrent w1", "", "", 0), (3002, "abhorrent news of w1", "", "", 0)], SCHEMA))
+    labels = labels.unionByName(spark.createDataFrame([(3001, 1, 1)], labels.schema))
+    assert zlib.crc32(b"3001") % 5 in (1, 2, 3)
+    model = fit_toxicity(docs, labels)
+    texts, toxic = {r["doc_id"]: r["text"] or "" for r in docs.collect()}, {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    n = [Counter(), Counter()]
+    for i, y in toxic.items():
+        if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3):
+            n[y].update(texts[i].split())
+    spread = Counter(w for t in texts.values() for w in set(t.split()))
+    p = lambda c, w: (max(n[c][w] - 0.75, 0) + 0.75 * len(n[c]) * (spread[w] + 0.5) / (spread.total() + len(spread) + 1)) / n[c].total()
+    assert n[1]["abhorrent"] == 1 and n[0]["abhorrent"] == 0
+    assert model.ratios == pytest.approx({w: np.log(p(1, w) / p(0, w)) for w in n[0] | n[1]})
+    # What is too much for a broadcast is joined, with equal scores.
+    joined = fit_toxicity(docs, labels, broadcast_expressions=10)
+    assert joined.ratios is None and joined.weights == pytest.approx(model.weights)
+    scores = [sorted((r["doc_id"] or 0, r["score"]) for r in score_toxicity(docs, m).collect()) for m in (model, joined)]
+    assert [i for i, _ in scores[0]] == [i for i, _ in scores[1]]
+    assert [x for _, x in scores[0]] == pytest.approx([x for _, x in scores[1]])
+    assert drop_toxic(docs, joined).count() == drop_toxic(docs, model).count()
+    assert joined.score("vile abhorrent news") == pytest.approx(model.score("vile abhorrent news"))
+
+
 def test_toxicity_without_labels(toxic_corpus):
     docs, labels = toxic_corpus
     model = fit_toxicity(docs, labels.where("toxic = 0"))
