@@ -90,12 +90,14 @@ def arrow_map(
     assert isinstance(kind, StructType)
     arrow = to_arrow_schema(kind)
 
+    def column(values: object, kind: pa.DataType) -> pa.Array:
+        return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, type=kind)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = fn(batch)
             if got is not None:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(got[f.name], type=f.type) for f in arrow], schema=arrow
-                )
+                columns = [column(got[f.name], f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return df.mapInArrow(run, kind)

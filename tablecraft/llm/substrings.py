@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, light, written
-from .shingles import mixed, text_words, word_hashes, words_of
+from .shingles import hashed_each, mixed, words_of
 
 GRAM = 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -139,8 +139,8 @@ def repeated_runs(docs: DataFrame, owners: DataFrame, window: int) -> DataFrame:
 
     def runs(batch: pa.RecordBatch) -> dict:
         ids, at, r0, r1 = [], [], [], []
-        for doc, text, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            hashed = word_hashes(words_of(text))
+        docs_, texts_, lows = (c.to_pylist() for c in batch.columns)
+        for doc, hashed, low in zip(docs_, hashed_each(texts_), lows, strict=True):
             if len(hashed) < window:
                 continue
             starts = np.flatnonzero(np.isin(minimizers(hashed, window).view(np.int64), low))
@@ -175,7 +175,7 @@ def matched_spans(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
                 out["owner"].append(m["owner"])
                 out["doc_id"].append(doc)
                 out["start"].append(m["start"])
-                out["part"].append(" ".join(words[m["start"] : m["start"] + m["runs"] + window - 1]))
+                out["part"].append(b" ".join(words[m["start"] : m["start"] + m["runs"] + window - 1]))
         return out
 
     texts = docs.join(light(marks), "doc_id").select("doc_id", "text", "marks")
@@ -224,8 +224,7 @@ def drop_repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "doc
 
     def of(batch: pa.RecordBatch) -> dict:
         n, low, both = [], [], []
-        for words in text_words(batch.column(1).to_pylist()):
-            hashed = word_hashes(words)
+        for hashed in hashed_each(batch.column(1).to_pylist()):
             n.append(len(hashed))
             both.append(sequence_print(hashed))
             low.append(np.unique(minimizers(hashed, window)).view(np.int64) if len(hashed) >= window else [])
@@ -261,7 +260,7 @@ def drop_repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "doc
                 left = words
             out["n_words"].append(len(words))
             out["n_removed"].append(len(words) - len(left))
-            out["kept_text"].append(" ".join(left))
+            out["kept_text"].append(b" ".join(left))
         return {"doc_id": batch.column(0), **out}
 
     joined = rows.join(light(gone), "doc_id", "left").select("doc_id", "text", "spans", "found")

@@ -18,10 +18,10 @@ from tablecraft.llm.exact import CHUNK, Polynomial, chunk_fingerprints, exact_du
 from tablecraft.llm.lines import drop_repeated_lines, line_duplicates
 from tablecraft.llm.media import media_digests, padded, pcm_blocks, store_flac
 from tablecraft.llm.mixing import apply_mix, mix_sources
-from tablecraft.llm.neardup import BINS, near_duplicates, sketch
+from tablecraft.llm.neardup import BINS, Sets, near_duplicates
 from tablecraft.llm.packing import WordEncoder, pack_documents, plan_rounds
 from tablecraft.llm.secrets import scan_secrets
-from tablecraft.llm.shingles import lower_ascii, words_of
+from tablecraft.llm.shingles import Words, hashed_each
 from tablecraft.llm.substrings import SuffixAutomaton, drop_repeated_passages
 from tablecraft.llm.toxicity import drop_toxic, fit_toxicity, score_toxicity
 
@@ -29,6 +29,14 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{i}" for i in range(400)]
 
 
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0d]+", text)
+
+
+def lower_ascii(text):
+    return re.sub("[A-Z]+", lambda m: m[0].lower(), text)
+
+
 def said(rng, n):
     return " ".join(rng.choices(WORDS, k=n))
 
@@ -559,11 +567,35 @@ def test_near_duplicate_chains(spark):
 
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(0)
-    for n in (1, 2, 30, 1000):
-        assert sketch(rng.integers(0, 1 << 63, n, dtype=np.uint64)).max() < np.iinfo(np.uint64).max
-    both = rng.integers(0, 1 << 63, 1200, dtype=np.uint64)
-    same = (sketch(both[:1000]) == sketch(both[200:])).sum() / BINS
-    assert abs(same - 800 / 1200) < 0.15
+    words = rng.integers(0, 1 << 63, 1200, dtype=np.uint64)
+    # Runs of one word, so sets are of the words; the third set is empty.
+    few = np.concatenate([words[:1], words[:2], words[:30], words[:1000], words[200:]])
+    sets = Sets(few, np.array([1, 2, 0, 30, 1000, 1000]), 1)
+    values = sets.sketches()
+    assert sets.sizes.tolist() == [1, 2, 0, 30, 1000, 1000]
+    full = values[sets.sizes > 0]
+    assert full.max() < np.iinfo(np.uint64).max
+    assert abs((full[3] == full[4]).sum() / BINS - 800 / 1200) < 0.15
+    # Each set by itself gives the same.
+    for i, n in ((0, 1), (1, 2), (3, 30), (4, 1000)):
+        assert (Sets(words[:n], np.array([n]), 1).sketches()[0] == values[i]).all()
+    odd = np.bitwise_count((sets.parities()[4] ^ sets.parities()[5]).view(np.uint64)).sum()
+    assert 300 < odd <= 400
+
+
+def test_word_hashes_tell_words_apart():
+    texts = ["a b", "", "ab a", "x" * 8, "x" * 9, "x" * 300, "\u00e9 \x85 \u3000", "x" * 8 + "\0", " \n", "a\0 b"]
+    found = Words([t.encode() for t in texts])
+    hashes, counts = found.hashes(), found.counts
+    words = [w.encode() for t in texts for w in words_of(t)]
+    assert counts.tolist() == [len(words_of(t)) for t in texts]
+    assert len(set(zip(words, hashes.tolist(), strict=True))) == len(set(words)) == len(set(hashes.tolist()))
+    assert [len(h) for h in hashed_each([None, *texts])] == [0, *counts.tolist()]
+    distinct, number = found.distinct()
+    assert [distinct[i] for i in number] == words and len(distinct) == len(set(words))
+    found.hashes = lambda: np.zeros(len(words), dtype=np.uint64)  # all collide
+    distinct, number = found.distinct()
+    assert [distinct[i] for i in number] == words and len(distinct) == len(set(words))
 
 
 @settings(max_examples=8, deadline=None)
