@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -26,28 +25,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, written
+from .shingles import Words
 
-#: An encoder forgets what it has seen beyond so many words; longer ones are not kept.
-CACHED_WORDS = 1_000_000
+#: An encoder forgets what it has seen beyond so many parts; longer ones are not kept.
+CACHED_PARTS = 1_500_000
 CACHED_LENGTH = 64
-TAILS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
-
-
-def parts_of(text: str) -> list[str]:
-    """Python splits at four separators that the tokenizer does not take for white space."""
-    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return [p for p in re.split(r"[ \t\n\r\f\v]+", text) if p]
-    return text.split()
+#: Marks that can follow a word; not the apostrophe, which begins some of the tokenizer's words.
+TAILS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordEncoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never merges across it, so a text's
-    ids are those of its blank-separated parts, and parts seen before are
-    looked up. A part of letters with one mark of ASCII punctuation behind it
-    is two of the tokenizer's words; new Latin words are merged together, in one
-    call, and told apart by the tokens that end a word.
+    ids are those of its blank-separated parts. The distinct parts of several
+    texts are encoded, or looked up if seen before, and their ids are dealt out
+    to all places. A part of letters with ASCII punctuation behind it is two of
+    the tokenizer's words; new Latin words are merged together, in one call, and
+    told apart by the tokens that end a word.
     """
 
     def __init__(self, tokenizer: str):
@@ -60,8 +55,7 @@ class WordEncoder:
 
             tokenizer = str(public_tokenizers.path(tokenizer))
         self.tokenizer = Tokenizer.from_file(tokenizer)
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
         size = self.tokenizer.get_vocab_size()
         tokens = map(self.tokenizer.id_to_token, range(size))
         self.ends = np.array([(t or "").endswith("</w>") for t in tokens])
@@ -83,35 +77,46 @@ class WordEncoder:
         data = ids.tobytes()
         return {w: data[a:b] for w, a, b in zip(words, stops[:-1], stops[1:], strict=True)}
 
-    def _learn(self, parts: list[str]) -> dict[str, bytes]:
-        split, odd = {}, []
-        for p in parts:
-            core, tail = (p[:-1], p[-1]) if p[-1] in TAILS else (p, "")
+    def _learn(self, parts: list[bytes]) -> list[bytes]:
+        split, odd = [], []
+        for i, part in enumerate(parts):
+            p = part.decode()
+            core = p.rstrip(TAILS)
             if core.isalpha() and (core.isascii() or max(core) < "\u0250" and "\u0130" not in core):
-                split[p] = (core, tail)
+                split.append((i, core, p[len(core) :]))
             else:
-                odd.append(p)
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        words = self.words
-        new = list({w for pair in split.values() for w in pair if w and w not in words})
-        if new:
-            words.update(self._latin(new))
-        got = {p: words[w] + words[t] if t else words[w] for p, (w, t) in split.items()}
-        return got | dict(zip(odd, (array("I", x).tobytes() for x in self._ids(odd)), strict=True))
+                odd.append((i, p))
+        new = {core for _, core, _ in split}.union([tail for _, _, tail in split])
+        new.discard("")
+        words = self._latin(list(new)) if new else {}
+        words[""] = b""
+        out = [b""] * len(parts)
+        for i, core, tail in split:
+            out[i] = words[core] + words[tail]
+        for (i, _), ids in zip(odd, self._ids([p for _, p in odd]), strict=True):
+            out[i] = array("I", ids).tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [parts_of(t) for t in texts]
-        distinct = set().union(*split)
-        if len(self.parts) > CACHED_WORDS:
+        words = Words([t.encode() for t in texts])
+        distinct, number = words.distinct()
+        ids = list(map(self.parts.get, distinct))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        new = [distinct[i] for i in missing]
+        for i, x in zip(missing, self._learn(new), strict=True):
+            ids[i] = x
+        if len(self.parts) + len(new) > CACHED_PARTS:
             self.parts.clear()
-        new = self._learn([p for p in distinct if p not in self.parts])
-        self.parts.update((p, x) for p, x in new.items() if len(p) <= CACHED_LENGTH)
-        long = {p: x for p, x in new.items() if len(p) > CACHED_LENGTH}
-        parts = self.parts
-        if long:
-            return [b"".join([long[p] if p in long else parts[p] for p in s]) for s in split]
-        return [b"".join([parts[p] for p in s]) for s in split]
+        self.parts.update((p, ids[i]) for p, i in zip(new, missing, strict=True) if len(p) <= CACHED_LENGTH)
+        lengths = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        store = np.frombuffer(b"".join(ids), dtype="<u4")
+        each = lengths[number]
+        ends = np.cumsum(each)
+        # The place in the store of every token: where its part's ids begin, and how far in it is.
+        begin = (np.cumsum(lengths) - lengths)[number]
+        found = store[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - each), each)]
+        stops = np.concatenate([[0], ends])[np.cumsum(words.counts)].tolist()
+        return [found[a:b].tobytes() for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
 
 @functools.cache
@@ -120,8 +125,8 @@ def encoder_for(tokenizer: str) -> WordEncoder:
     return WordEncoder(tokenizer)
 
 
-def by_size(texts: list[str | None], most: int = 2_000_000) -> Iterator[list[str]]:
-    """Runs of texts of some two million characters; null counts as empty."""
+def by_size(texts: list[str | None], most: int = 4_000_000) -> Iterator[list[str]]:
+    """Runs of texts of some four million characters; null counts as empty."""
     run: list[str] = []
     held = 0
     for text in texts:
