@@ -29,10 +29,6 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_duplicates(_table(spark, sf_dir, "documents"))
 
 
-def op2_word_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_duplicates(_table(spark, sf_dir, "documents"), run=1)
-
-
 def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(store_flac(_table(spark, sf_dir, "documents")))
 
@@ -72,7 +68,6 @@ QUERIES = {
     for f in (
         op1_source_mix,
         op2_line_dedup,
-        op2_word_line_dedup,
         op3_flac_media,
         op4_best_fit_packing,
         op5_secret_scan,
@@ -126,42 +121,6 @@ WITH split AS (
 ), l AS (
     SELECT doc_id, i - 1 AS line, regexp_extract_all(lines[i], '[^\\x20\\x09-\\x0D]+') AS w
     FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM split)
-), t AS (
-    SELECT doc_id, line, list_sort(list_distinct(list_transform(
-        range(1, greatest(len(w) - 4, 1) + 1), lambda x: array_to_string(w[x:x + 4], ' ')))) AS tokens
-    FROM l WHERE len(w) > 0
-), c AS (
-    SELECT tokens, min(doc_id * 1000000 + line) AS first FROM t GROUP BY tokens
-), e AS (
-    SELECT first, len(tokens) AS n, unnest(tokens) AS token FROM c
-), p AS (
-    SELECT x.first AS x, y.first AS y, any_value(x.n) AS xn, any_value(y.n) AS yn, count(*) AS common
-    FROM e x JOIN e y ON x.token = y.token AND x.first < y.first GROUP BY 1, 2
-), links AS (
-    SELECT x, y FROM p WHERE 100 * common >= 75 * (xn + yn - common)
-), ends AS (
-    SELECT x AS first, 0 AS late FROM links UNION ALL SELECT y, 1 FROM links
-), found AS (
-    SELECT first, count(*) AS links, max(late) AS late FROM ends GROUP BY first
-), judged AS (
-    SELECT t.doc_id, t.line, coalesce(f.links, 0) AS links,
-        coalesce(f.late, 0) = 1 OR t.doc_id * 1000000 + t.line <> c.first AS removed
-    FROM t JOIN c USING (tokens) LEFT JOIN found f ON f.first = c.first
-), per AS (
-    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed, CAST(sum(links) AS BIGINT) AS n_links,
-        string_agg(line, ',' ORDER BY line) FILTER (NOT removed) AS kept
-    FROM judged GROUP BY doc_id
-)
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_links, 0) AS n_links,
-    sha256(coalesce(kept, '')) AS kept_lines_sha256
-FROM documents d LEFT JOIN per USING (doc_id)
-""",
-    "op2_word_line_dedup": """
-WITH split AS (
-    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
-), l AS (
-    SELECT doc_id, i - 1 AS line, regexp_extract_all(lines[i], '[^\\x20\\x09-\\x0D]+') AS w
-    FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM split)
 ), t AS (
     SELECT doc_id, line, list_sort(list_distinct(w)) AS tokens
     FROM l WHERE len(w) > 0

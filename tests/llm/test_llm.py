@@ -116,8 +116,7 @@ def test_mix_edges(spark, empty, docs):
 
 
 def line_tokens(line):
-    w = words_of(line)
-    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else None
+    return frozenset(words_of(line))
 
 
 def brute_lines(rows):
@@ -169,7 +168,7 @@ def test_lines_by_words_against_brute_force(docs):
 
     rows = [(i, "\n".join(line() for _ in range(6)), "", "", 0) for i in range(40)]
     for table, of in ((docs.sparkSession.createDataFrame(rows, SCHEMA), rows), (docs, corpus())):
-        got = rows_of(line_duplicates(table, run=1))
+        got = rows_of(line_duplicates(table))
         sets = sorted((i, n, frozenset(words_of(x))) for i, t, *_ in of for n, x in enumerate((t or "").split("\n")) if words_of(x))
         alike = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
         kept = defaultdict(list)
