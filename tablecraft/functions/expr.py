@@ -647,7 +647,8 @@ class Like(Condition):
             case LikePosition.ENDING:
                 out = c.endswith(F.lit(term))
             case _:
-                out = c.rlike(like_regex(term)) if "[" in term else c.like(term)
+                # A backslash is a letter like others; Spark's LIKE takes it for an escape.
+                out = c.rlike(like_regex(term)) if "[" in term else c.like(term.replace("\\", "\\\\"))
         return ~out if self.negated else out
 
 
@@ -663,9 +664,6 @@ def like_regex(pattern: str) -> str:
             body = re.sub(r"([\\\[\]&^])", r"\\\1", inner.removeprefix("^"))
             out.append(f"[{sign}{body}]")
             at = end
-        elif ch == "\\" and at + 1 < len(pattern):
-            at += 1
-            out.append(re.escape(pattern[at]))
         else:
             out.append({"%": ".*", "_": "."}.get(ch, re.escape(ch)))
         at += 1

@@ -6,6 +6,7 @@ one logical plan; nothing runs before a terminal. Catalyst chooses the joins.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from enum import Enum
@@ -178,6 +179,20 @@ class _Readable:
     def stream(self, engine: Any = None) -> Iterator[Row]:
         return self.frame(engine).toLocalIterator(prefetchPartitions=True)
 
+    def chunk(self, size: int = 500, engine: Any = None) -> Iterator[list[Row]]:
+        """The rows in runs of ``size``: one ordered pass, a partition at a time on the driver."""
+        if size < 1:
+            raise ArgumentError("a chunk has a row")
+        if not self.orders:  # type: ignore[attr-defined]
+            raise QueryShapeError("chunks need an order")
+        rows = self.stream(engine)
+        while run := list(itertools.islice(rows, size)):
+            yield run
+
+    def lazy(self, size: int = 500, engine: Any = None) -> Iterator[Row]:
+        for run in self.chunk(size, engine):
+            yield from run
+
     def first(self, engine: Any = None) -> Row | None:
         return next(iter(self.frame(engine).limit(1).collect()), None)
 

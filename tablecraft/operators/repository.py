@@ -25,7 +25,7 @@ from ..functions.expr import Col, Condition, Expr, Raw
 from ..sources.tables import ScopeSelection, TableDef, Trashed, UniqueKey
 from .entity import EntityQuery, Page
 from .relations import Relation, RelationKind
-from .writes import Delete, Insert, InsertSelect, Output, Update, Upsert, WriteOutcome, fitted, patch_values
+from .writes import Delete, Insert, InsertSelect, Output, Update, Upsert, WriteOutcome, fitted, patch_values, target_of, value_column
 
 
 class CycleWrite(Enum):
@@ -185,15 +185,16 @@ class Repository:
 
     # Updating.
     def update(self, row: dict[str, Any], columns: Sequence[str] | None = None) -> WriteOutcome:
+        return self._update_row(row, columns, None)
+
+    def _update_row(self, row: dict[str, Any], columns: Sequence[str] | None, expected: int | None) -> WriteOutcome:
         key = {k: row[k] for k in self.table.primary_key}
         values = {k: v for k, v in row.items() if k not in key and self.table.column_def(k).writable and (columns is None or k in columns)}
-        return self.engine.execute(self._update(self._key_condition(key), self._stamped(values, False)))
+        statement = self._update(self._key_condition(key), self._stamped(values, False))
+        return self.engine.execute(statement if expected is None else statement.expect(expected))
 
     def update_one(self, row: dict[str, Any]) -> WriteOutcome:
-        out = self.update(row)
-        if out.affected != 1:
-            raise AffectedRowsError("update", 1, out.affected)
-        return out
+        return self._update_row(row, None, 1)
 
     def update_patch(self, key: Any, patch: dict[str, Any], expected_version: int | None = None) -> WriteOutcome:
         return self._patched(self._key_condition(key), patch, None, expected_version)
@@ -232,24 +233,44 @@ class Repository:
         schema = ", ".join([*(f"`k_{k}` {kinds[k]}" for k in keys), *(f"`v_{f}` {kinds[f]}, `p_{f}` boolean" for f in fields)])
         rows = [(*p, *(x for f in fields for x in (v.get(f), f in v))) for p, v in made]
         patch = self.engine.spark.createDataFrame(rows, schema)
-        on = [df[k] == patch[f"k_{k}"] for k in keys]
-        live = df
-        for c in self.table.read_conditions(self.selection):
-            from .writes import table_scope
-
-            live = live.alias(self.table.label).where(c.to_column(table_scope(self.engine, self.table, df)))
-        n = live.join(patch, [live[k] == patch[f"k_{k}"] for k in keys], "left_semi").count()
+        marked, scope = self._marked()
+        joined = marked.join(patch, [F.col(k) == F.col(f"k_{k}") for k in keys], "left")
+        hit = F.col("__live") & F.col(f"k_{keys[0]}").isNotNull()
+        n = joined.where(hit).count()
         if expect_affected is not None and n != expect_affected:
             raise AffectedRowsError("update_many", expect_affected, n)
-        joined = df.join(patch, on, "left")
-        out = [
-            (F.when(F.coalesce(patch[f"p_{f}"], F.lit(False)), patch[f"v_{f}"]).otherwise(df[f]).alias(f) if f in fields else df[f])
-            for f in df.columns
-        ]
+        new = self._touched(scope)
+        for f in fields:
+            new[f] = F.when(F.col(f"p_{f}"), F.col(f"v_{f}")).otherwise(new.get(f, F.col(f"`{f}`")))
         if n:
-            self.engine.put({self.table.name: joined.select(*out)})
+            self.engine.put({self.table.name: self._written(df, joined, hit, new)})
         return WriteOutcome(n)
 
+    def _marked(self) -> tuple[DataFrame, Any]:
+        """The table and whether each row is within the scopes, ``__live``."""
+        df, scope = target_of(self.engine, self.table)
+        live = F.lit(True)
+        for c in self.table.read_conditions(self.selection):
+            live = live & c.to_column(scope)
+        return df.withColumn("__live", F.coalesce(live, F.lit(False))), scope
+
+    def _touched(self, scope: Any) -> dict[str, Any]:
+        """New stamps and versions of a row that is written."""
+        out = {k: value_column(self.table, k, v, scope) for k, v in self._stamped({}, False).items()}
+        for c in self.table.columns:
+            if c.row_version:
+                out[c.name] = F.coalesce(F.col(c.name), F.lit(0)) + 1
+        return out
+
+    def _written(self, df: DataFrame, joined: DataFrame, hit: Any, new: dict[str, Any]) -> DataFrame:
+        """``joined`` with the columns of ``df``, new values where ``hit``."""
+        return joined.select(
+            *[
+                F.when(hit, new[f.name].cast(f.dataType)).otherwise(F.col(f"`{f.name}`")).alias(f.name) if f.name in new else F.col(f"`{f.name}`")
+                for f in df.schema
+            ]
+        )
+
     def _plain(self, values: dict[str, Any]) -> dict[str, Any]:
         for k, v in values.items():
             if isinstance(v, Expr):
@@ -270,14 +291,15 @@ class Repository:
         df = self.engine.table(self.table.name)
         kind = df.schema[key_column].dataType.simpleString()
         asked = self.engine.spark.createDataFrame(list(requests), f"__key {kind}, __q long").groupBy("__key").agg(F.sum("__q").alias("__q"))
-        joined = df.join(asked, df[key_column] == asked["__key"], "left")
+        marked, scope = self._marked()
+        joined = marked.join(asked, F.col(key_column) == F.col("__key"), "left")
+        hit = F.col("__live") & F.col("__q").isNotNull()
         n = asked.count()
-        covered = joined.where(F.col("__q").isNotNull() & (F.col(quantity_column) >= F.col("__q"))).count()
+        covered = joined.where(hit & (F.col(quantity_column) >= F.col("__q"))).count()
         if covered != n:
             raise AffectedRowsError("decrement_quantities", n, covered)
-        left = F.col(quantity_column) - F.coalesce("__q", F.lit(0))
-        columns = [left.cast(df.schema[c].dataType).alias(c) if c == quantity_column else df[c] for c in df.columns]
-        self.engine.put({self.table.name: joined.select(*columns)})
+        new = self._touched(scope) | {quantity_column: F.col(quantity_column) - F.col("__q")}
+        self.engine.put({self.table.name: self._written(df, joined, hit, new)})
         return WriteOutcome(n)
 
     # Deleting.
@@ -364,13 +386,14 @@ class Repository:
     def create_graph(self, graph: Graph, cycle: CycleWrite = CycleWrite.REFUSE) -> Row:
         """Parents, the row, children and pivots, in one transaction."""
         with self._atomic():
-            return _write_graph(graph, cycle, [])
+            return _write_graph(graph, cycle, [], [])
 
     def related(self, parent: Any, relation: Relation) -> RelatedWrites:
         return RelatedWrites(self, parent, relation)
 
 
-def _write_graph(graph: Graph, cycle: CycleWrite, path: list[int]) -> Row:
+def _write_graph(graph: Graph, cycle: CycleWrite, path: list[int], pending: list[tuple]) -> Row:
+    """``pending`` are rows written without a key of a row that comes later: relation, the later graph, repository and row."""
     if id(graph) in path:
         raise RelationError("a graph names itself")
     values, repo, later = dict(graph.values), graph.repository, []
@@ -381,17 +404,22 @@ def _write_graph(graph: Graph, cycle: CycleWrite, path: list[int]) -> Row:
             values |= dict.fromkeys(relation.local)
             later.append((relation, parent))
             continue
-        row = _write_graph(parent, cycle, [*path, id(graph)]) if isinstance(parent, Graph) else parent
+        row = _write_graph(parent, cycle, [*path, id(graph)], pending) if isinstance(parent, Graph) else parent
         values |= {c: row[f] for c, f in zip(relation.local, relation.foreign, strict=True)}
     row = repo.insert(values)
+    pending += [(relation, parent, repo, row) for relation, parent in later]
+    for item in [p for p in pending if p[1] is graph]:
+        relation, _, behind, written = item
+        behind.update_patch(written, {c: row[f] for c, f in zip(relation.local, relation.foreign, strict=True)})
+        pending.remove(item)
     for relation, child in graph.children:
         own = {f: row[c] for c, f in zip(relation.local, relation.foreign, strict=True)}
         if relation.kind.through:
-            target = _write_graph(child, cycle, [*path, id(graph)])
+            target = _write_graph(child, cycle, [*path, id(graph)], pending)
             pivot = Repository(repo.engine, relation.pivot)
             pivot.insert(own | {p: target[t] for p, t in zip(relation.pivot_far, relation.target_key, strict=True)})
         else:
-            _write_graph(replace(child, values=child.values | own), cycle, [*path, id(graph)])
+            _write_graph(replace(child, values=child.values | own), cycle, [*path, id(graph)], pending)
     return row
 
 

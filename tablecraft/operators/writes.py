@@ -95,6 +95,10 @@ class Statement:
     def check(self, engine: Any) -> None:
         pass
 
+    def evaluated(self, engine: Any) -> tuple[DataFrame, DataFrame]:
+        """``changed`` and ``result`` of one evaluation: clocks and identities are the same in both."""
+        return engine.settled(self.changed(engine)), self.result(engine)
+
     def returning(self, output: Output) -> Any:
         return replace(self, output=output)  # type: ignore[type-var]
 
@@ -103,10 +107,12 @@ class Statement:
 
     def run(self, engine: Any) -> WriteOutcome:
         self.check(engine)
-        changed = self.changed(engine)
         rows: tuple[Row, ...] = ()
-        if self.output is not None:
-            changed = engine.settled(changed)
+        result = None
+        if self.output is None:
+            changed = self.changed(engine)
+        else:
+            changed, result = self.evaluated(engine)
             picked = changed.select(*[F.col(f"{side}.{c}").alias(n) for side, c, n in self.output.columns])
             if self.output.into:
                 picked.createOrReplaceTempView(self.output.into)
@@ -115,7 +121,7 @@ class Statement:
         if self.expected is not None and affected != self.expected:
             raise AffectedRowsError(type(self).__name__.lower(), self.expected, affected)
         if affected:
-            engine.put({_name(self.table): self.result(engine)})
+            engine.put({_name(self.table): self.result(engine) if result is None else result})
         return WriteOutcome(affected, rows)
 
 
@@ -124,7 +130,7 @@ def table_scope(engine: Any, table: Any, df: DataFrame) -> Scope:
     return Scope({label: tuple(df.columns)}, None, engine, {} if isinstance(table, str) else {table: label})
 
 
-def _target(engine: Any, table: Any) -> tuple[DataFrame, Scope]:
+def target_of(engine: Any, table: Any) -> tuple[DataFrame, Scope]:
     df = engine.table(_name(table))
     label = _name(table).rsplit(".", 1)[-1]
     return df.alias(label), table_scope(engine, table, df)
@@ -213,7 +219,7 @@ class Insert(Statement):
             raise QueryShapeError("an insert has rows of values or asks for the defaults")
 
     def new_rows(self, engine: Any) -> DataFrame:
-        df, _ = _target(engine, self.table)
+        df, _ = target_of(engine, self.table)
         one = engine.spark.range(1)
         scope = Scope({}, None, engine)
         if self.default_row:
@@ -229,11 +235,15 @@ class Insert(Statement):
 
     def changed(self, engine: Any) -> DataFrame:
         rows = self.new_rows(engine)
-        return rows.select(F.lit(None).alias("deleted"), F.struct(*rows.columns).alias("inserted"))
+        return rows.select(F.lit(None).cast(rows.schema).alias("deleted"), F.struct(*rows.columns).alias("inserted"))
 
     def result(self, engine: Any) -> DataFrame:
         return engine.table(_name(self.table)).unionByName(self.new_rows(engine))
 
+    def evaluated(self, engine: Any) -> tuple[DataFrame, DataFrame]:
+        changed = engine.settled(self.changed(engine))
+        return changed, engine.table(_name(self.table)).unionByName(changed.select("inserted.*"))
+
 
 @dataclass(frozen=True)
 class InsertSelect(Statement):
@@ -252,10 +262,11 @@ class InsertSelect(Statement):
             raise QueryShapeError("the query has another number of columns than the target list")
 
     def new_rows(self, engine: Any) -> DataFrame:
-        df, _ = _target(engine, self.table)
+        df, _ = target_of(engine, self.table)
         return fitted(df, self.query.frame(engine).toDF(*self.columns), self.table, engine)
 
     changed = Insert.changed
+    evaluated = Insert.evaluated
 
     def result(self, engine: Any) -> DataFrame:
         return engine.table(_name(self.table)).unionByName(self.new_rows(engine))
@@ -321,26 +332,33 @@ class Update(_Filtered):
         return {f.name: new[f.name.lower()].cast(f.dataType) if f.name.lower() in new else F.col(f"`{f.name}`") for f in df.schema}
 
     def changed(self, engine: Any) -> DataFrame:
-        df, scope = _target(engine, self.table)
+        df, scope = target_of(engine, self.table)
         after = self._after(df, scope)
         hit = df.where(self.met(scope))
         return hit.select(F.struct(*df.columns).alias("deleted"), F.struct(*[v.alias(k) for k, v in after.items()]).alias("inserted"))
 
     def result(self, engine: Any) -> DataFrame:
-        df, scope = _target(engine, self.table)
+        df, scope = target_of(engine, self.table)
         hit, after = self.met(scope), self._after(df, scope)
         return df.select(*[F.when(hit, v).otherwise(F.col(f"`{k}`")).alias(k) for k, v in after.items()])
 
+    def evaluated(self, engine: Any) -> tuple[DataFrame, DataFrame]:
+        df, scope = target_of(engine, self.table)
+        after = F.struct(*[v.alias(k) for k, v in self._after(df, scope).items()])
+        hit = self.met(scope)
+        both = engine.settled(df.select(F.struct(*df.columns).alias("deleted"), F.when(hit, after).alias("inserted")))
+        return both.where("inserted is not null"), both.select(F.coalesce("inserted", "deleted").alias("row")).select("row.*")
+
 
 @dataclass(frozen=True)
 class Delete(_Filtered):
     def changed(self, engine: Any) -> DataFrame:
-        df, scope = _target(engine, self.table)
+        df, scope = target_of(engine, self.table)
         kind = df.schema.simpleString()
         return df.where(self.met(scope)).select(F.struct(*df.columns).alias("deleted"), F.lit(None).cast(kind).alias("inserted"))
 
     def result(self, engine: Any) -> DataFrame:
-        df, scope = _target(engine, self.table)
+        df, scope = target_of(engine, self.table)
         return df.where(~self.met(scope))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import tempfile
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from typing import Any
@@ -63,11 +64,23 @@ class Engine:
         raise UnknownNameError(f"no table {key}")
 
     def settled(self, df: DataFrame) -> DataFrame:
-        """The frame evaluated once, its plan cut off; files go to the session's checkpoint folder."""
-        context = self.spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(self.spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp())
-        return df.checkpoint()
+        """The frame evaluated once: a table in the session's checkpoint folder, read again.
+
+        Columns of no type cannot be stored; they are checkpointed.
+        """
+        folder = self.spark.conf.get("spark.checkpoint.dir", "")
+        if not folder:
+            if not self.spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = "file://" + tempfile.mkdtemp(prefix="tablecraft-")
+            self.spark.conf.set("spark.checkpoint.dir", folder)
+        if "void" in df.schema.simpleString():
+            if self.spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+                self.spark.sparkContext.setCheckpointDir(folder)
+            return df.checkpoint()
+        path = f"{folder.rstrip('/')}/tablecraft/settled-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     # Running.
     def query(self, q: Any) -> DataFrame:

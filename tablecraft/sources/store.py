@@ -57,14 +57,22 @@ class VersionedStore:
             path = f"{self.root}/{table.lower()}/{uuid.uuid4().hex}"
             df.write.parquet(path)
             manifest[table.lower()] = path
-        try:
-            out = self._fs.create(self._path(self._name(base + 1)), False)
-        except Exception as e:
-            raise ConcurrencyError(f"version {base + 1} is there already") from e
+        # Written aside and renamed, so a reader never meets half of it.
+        aside = self._path(f"{self.root}/_manifests/.{base + 1}-{uuid.uuid4().hex}")
+        out = self._fs.create(aside, False)
         try:
             out.write(bytearray(json.dumps(manifest).encode()))
         finally:
             out.close()
+        gateway = self.spark.sparkContext._gateway
+        files = gateway.jvm.org.apache.hadoop.fs
+        context = files.FileContext.getFileContext(self._fs.getUri(), self._fs.getConf())
+        none = gateway.new_array(getattr(files, "Options$Rename"), 0)
+        try:
+            context.rename(aside, self._path(self._name(base + 1)), none)
+        except Exception as e:
+            self._fs.delete(aside, False)
+            raise ConcurrencyError(f"version {base + 1} is there already") from e
         return base + 1
 
 
