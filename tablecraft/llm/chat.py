@@ -2,8 +2,11 @@
 
 A logged conversation is often a prefix of a longer one. A turn's hash takes in
 its place; the hash of the first turns of a conversation is the running
-exclusive-or of theirs, 128 bits in all. A conversation whose whole hash is the
-hash of a longer one's beginning goes, before anything is rendered.
+exclusive-or of theirs, 128 bits in all. Role and text are hashed apart, so what
+is rendered alike is not taken for the same; null counts as empty. A
+conversation whose whole hash is the hash of a longer one's beginning goes,
+before anything is rendered. A conversation's turns meet in one task, as its
+rendering needs them together; conversations do not.
 """
 
 from __future__ import annotations
@@ -14,12 +17,9 @@ from pyspark.sql import functions as F
 from .common import small, written
 
 
-def rendered(role: str, text: str) -> Column:
-    """A turn between its marks; null role and text as empty."""
-    empty = F.lit("")
-    return F.concat(
-        F.lit("<|im_start|>"), F.coalesce(F.col(role), empty), F.lit("\n"), F.coalesce(F.col(text), empty), F.lit("<|im_end|>\n")
-    )
+def rendered(role: Column, text: Column) -> Column:
+    """A turn between its marks."""
+    return F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), text, F.lit("<|im_end|>\n"))
 
 
 def format_chats(
@@ -27,9 +27,9 @@ def format_chats(
 ) -> DataFrame:
     """Maximal conversations: ``conv_id, n_turns, n_copies, chat``.
 
-    Turns are ordered by ``turn``, then role and text. A conversation that is
-    the beginning of a longer one is dropped; of equal ones the smallest id
-    stands for all, ``n_copies`` says how many there are.
+    Turns are ordered by ``turn``, then role and text; null roles and texts count
+    as empty. A conversation that is the beginning of a longer one is dropped; of
+    equal ones the smallest id stands for all, ``n_copies`` says how many there are.
 
     Turns without a conversation id belong to none and are left out; a null
     turn number comes first; repeated rows are turns of their own; an empty
@@ -38,17 +38,16 @@ def format_chats(
     rows = turns.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("conv_id"),
         F.col(turn_col).alias("turn"),
-        F.col(role_col).alias("role"),
-        F.col(text_col).alias("text"),
+        F.coalesce(F.col(role_col), F.lit("")).alias("role"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.select(
-        "conv_id", "turn", "role", "text", F.row_number().over(order).alias("at"), rendered("role", "text").alias("said")
-    )
+    placed = rows.withColumn("at", F.row_number().over(order))
     hashed = placed.select(
-        "conv_id", "turn", "role", "text", "at", F.xxhash64("at", "said").alias("h0"), F.xxhash64(F.lit(1), "at", "said").alias("h1")
-    )
+        "conv_id", "turn", "role", "text", "at",
+        F.xxhash64("at", "role", "text").alias("h0"), F.xxhash64(F.lit(1), "at", "role", "text").alias("h1"),
+    )
     prefixes = hashed.select(
         "conv_id", "at", F.bit_xor("h0").over(upto).alias("p0"), F.bit_xor("h1").over(upto).alias("p1"),
         F.count(F.lit(1)).over(Window.partitionBy("conv_id")).alias("n"),
@@ -65,13 +64,5 @@ def format_chats(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         "n_copies",
-        F.array_join(
-            F.transform(
-                "turns",
-                lambda t: F.concat(
-                    F.lit("<|im_start|>"), F.coalesce(t["role"], F.lit("")), F.lit("\n"), F.coalesce(t["text"], F.lit("")), F.lit("<|im_end|>\n")
-                ),
-            ),
-            "",
-        ).alias("chat"),
+        F.array_join(F.transform("turns", lambda t: rendered(t["role"], t["text"])), "").alias("chat"),
     )

@@ -225,17 +225,18 @@ FROM d LEFT JOIN listed USING (doc_id)
     "op7_chat_format": """
 WITH t AS (
     SELECT conv_id, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
+        len(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || len(coalesce(text, '')) || ':' || coalesce(text, '') AS turn_key,
         '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS part
     FROM conversations WHERE conv_id IS NOT NULL
-    WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)
+    WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, ''))
 ), prefixes AS (
-    SELECT conv_id, pos, n, md5(string_agg(part, '') OVER (PARTITION BY conv_id ORDER BY pos)) AS h FROM t
+    SELECT conv_id, pos, n, md5(string_agg(turn_key, '|') OVER (PARTITION BY conv_id ORDER BY pos)) AS h FROM t
 ), whole AS (
-    SELECT conv_id, max(n) AS n_turns, string_agg(part, '' ORDER BY pos) AS chat FROM t GROUP BY conv_id
+    SELECT conv_id, max(n) AS n_turns, string_agg(part, '' ORDER BY pos) AS chat, md5(string_agg(turn_key, '|' ORDER BY pos)) AS h FROM t GROUP BY conv_id
 ), alike AS (
-    SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_copies, chat FROM whole GROUP BY n_turns, chat
+    SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_copies, min(chat) AS chat, h FROM whole GROUP BY n_turns, h
 )
 SELECT conv_id, n_turns, n_copies, chat FROM alike
-WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.pos = n_turns AND p.n > n_turns AND p.h = md5(chat))
+WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.pos = n_turns AND p.n > n_turns AND p.h = alike.h)
 """,
 }

@@ -127,6 +127,10 @@ def sequence_print(hashes: np.ndarray) -> tuple[int, int]:
     return both[0], both[1]
 
 
+def kind_of(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
 def repeated_runs(docs: DataFrame, owners: DataFrame, window: int) -> DataFrame:
     """``doc_id, owner, start, runs``: consecutive runs of words of a document with one owner.
 
@@ -138,24 +142,24 @@ def repeated_runs(docs: DataFrame, owners: DataFrame, window: int) -> DataFrame:
     marked = written(marked, "marked")
 
     def runs(batch: pa.RecordBatch) -> dict:
-        ids, at, r0, r1 = [], [], [], []
-        docs_, texts_, lows = (c.to_pylist() for c in batch.columns)
-        for doc, hashed, low in zip(docs_, hashed_each(texts_), lows, strict=True):
+        rows, at, r0, r1 = [], [], [], []
+        for row, (hashed, low) in enumerate(zip(hashed_each(batch.column(1).to_pylist()), batch.column(2).to_pylist(), strict=True)):
             if len(hashed) < window:
                 continue
             starts = np.flatnonzero(np.isin(minimizers(hashed, window).view(np.int64), low))
-            ids.append(np.full(len(starts), doc, dtype=np.int64))
+            rows.append(np.full(len(starts), row, dtype=np.int64))
             at.append(starts.astype(np.int32))
             r0.append(run_hashes(hashed, window, 1)[starts].view(np.int64))
             r1.append((run_hashes(hashed, window, 2)[starts] >> np.uint64(32)).astype(np.int64))
         cat = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-        return {"doc_id": cat(ids, np.int64), "at": cat(at, np.int32), "r0": cat(r0, np.int64), "r1": cat(r1, np.int64)}
+        return {"doc_id": batch.column(0).take(pa.array(cat(rows, np.int64))), "at": cat(at, np.int32), "r0": cat(r0, np.int64), "r1": cat(r1, np.int64)}
 
     texts = docs.join(light(marked), "doc_id").select("doc_id", "text", "low")
-    found = written(arrow_map(texts, runs, "doc_id long, at int, r0 long, r1 long"), "runs")
+    found = written(arrow_map(texts, runs, f"doc_id {kind_of(docs)}, at int, r0 long, r1 long"), "runs")
     owned = found.groupBy("r0", "r1").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
-    owned = owned.where("owner < last").drop("last")
-    placed = found.join(owned, ["r0", "r1"]).select("doc_id", "at", "owner")
+    # Written, so that the join is by itself in its stage and a passage that many documents have can be split.
+    owned = written(owned.where("owner < last").drop("last"), "owned")
+    placed = found.join(light(owned), ["r0", "r1"]).select("doc_id", "at", "owner")
     order = Window.partitionBy("doc_id", "owner").orderBy("at")
     island = placed.withColumn("island", F.col("at") - F.dense_rank().over(order))
     return island.groupBy("doc_id", "owner", "island").agg(
@@ -179,12 +183,12 @@ def matched_spans(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
         return out
 
     texts = docs.join(light(marks), "doc_id").select("doc_id", "text", "marks")
-    parts = written(arrow_map(texts, cut, "owner long, doc_id long, start int, part string"), "parts")
+    parts = written(arrow_map(texts, cut, f"owner {kind_of(docs)}, doc_id {kind_of(docs)}, start int, part string"), "parts")
     shards = parts.where("owner = doc_id").groupBy("owner").agg(F.sort_array(F.collect_set("part")).alias("shard"))
     pairs = parts.where("owner < doc_id").join(shards, "owner").select("owner", "shard", "doc_id", "start", "part")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, SuffixAutomaton] = {}
+        held: dict[object, SuffixAutomaton] = {}
         for batch in batches:
             out: dict[str, list] = {"doc_id": [], "start": [], "end": []}
             shard = batch.column(1)
@@ -200,11 +204,11 @@ def matched_spans(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
                     out["start"].append(start + a)
                     out["end"].append(start + b)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out["doc_id"], pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["end"], pa.int32())],
+                [pa.array(out["doc_id"], batch.schema.field("doc_id").type), pa.array(out["start"], pa.int32()), pa.array(out["end"], pa.int32())],
                 names=["doc_id", "start", "end"],
             )
 
-    return pairs.mapInArrow(match, "doc_id long, start int, end int")
+    return pairs.mapInArrow(match, f"doc_id {kind_of(docs)}, start int, end int")
 
 
 def drop_repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,12 +219,13 @@ def drop_repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "doc
     Kept words are joined by one space. Documents with the same words in the
     same order are found first: all but the smallest go whole.
 
-    Null counts as empty; texts of fewer words than the window keep all; rows
+    Ids are of any type with an order. Null counts as empty; texts of fewer
+    words than the window keep all; rows
     without an id are kept whole and are nobody's reference; ``id_col`` is a
     key, and rows repeated whole have equal results; an empty table gives no
     rows; other columns are not looked at.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def of(batch: pa.RecordBatch) -> dict:
         n, low, both = [], [], []
@@ -230,7 +235,7 @@ def drop_repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "doc
             low.append(np.unique(minimizers(hashed, window)).view(np.int64) if len(hashed) >= window else [])
         return {"doc_id": batch.column(0), "n": n, "p0": [b[0] for b in both], "p1": [b[1] for b in both], "low": low}
 
-    prints = arrow_map(rows.where("doc_id is not null"), of, "doc_id long, n int, p0 long, p1 long, low array<long>")
+    prints = arrow_map(rows.where("doc_id is not null"), of, f"doc_id {kind_of(rows)}, n int, p0 long, p1 long, low array<long>")
     prints = written(prints.where(F.col("n") >= window), "words")
     key = ["n", "p0", "p1"]
     owners = prints.groupBy(*key).agg(
@@ -264,4 +269,4 @@ def drop_repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "doc
         return {"doc_id": batch.column(0), **out}
 
     joined = rows.join(light(gone), "doc_id", "left").select("doc_id", "text", "spans", "found")
-    return arrow_map(joined, keep, "doc_id long, n_words long, n_removed long, kept_text string")
+    return arrow_map(joined, keep, f"doc_id {kind_of(rows)}, n_words long, n_removed long, kept_text string")

@@ -399,6 +399,13 @@ def test_chats(spark):
     assert format_chats(table.limit(0)).count() == 0
 
 
+def test_chats_that_are_rendered_alike(spark):
+    """A line feed in a role is not the one behind it; null and empty are the same."""
+    rows = [(1, 0, "user\nhi", ""), (2, 0, "user", "hi\n"), (3, 0, "user", "hi\n"), (3, 1, "user", None), (4, 0, None, "x" * 200_000), (5, 0, "", "x" * 200_000)]
+    got = rows_of(format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), "conv_id")
+    assert {i: (r["n_turns"], r["n_copies"]) for i, r in got.items()} == {1: (1, 1), 3: (2, 1), 4: (1, 2)}
+
+
 # --- 8. Substrings.
 
 
@@ -427,6 +434,32 @@ def test_passages(docs, window):
         assert r["kept_text"] == " ".join(kept[i])
 
 
+def test_ids_of_text_and_columns_of_other_names(spark):
+    """Ids may be texts; columns named like the operators' own are not looked at; very long texts are whole."""
+    rng = random.Random(2)
+    passage = said(rng, 70)
+    texts = [f"{said(rng, 30)} {passage}", f"{passage} {said(rng, 9)}", said(rng, 40_000), None, ""]
+    texts.append(texts[2] + " more")
+    rows = [(f"d{i}", t, 1, 2, "z") for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "name string, body string, n int, component int, band string")
+    got = drop_repeated_passages(table, id_col="name", text_col="body").collect()
+    _, kept = brute_passages([(r[0], r[1]) for r in rows], 50)
+    assert {r["doc_id"]: r["kept_text"] for r in got} == {i: " ".join(w) for i, w in kept.items()}
+    near = near_duplicates(table, id_col="name", text_col="body").collect()
+    assert {r["doc_id"]: r["component_id"] for r in near} == {f"d{i}": f"d{i if i < 5 else 2}" for i in range(6)}
+    lines = line_duplicates(table, id_col="name", text_col="body").collect()
+    assert {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in lines} == {"d0": (1, 0), "d1": (1, 0), "d2": (1, 0), "d3": (0, 0), "d4": (0, 0), "d5": (1, 1)}
+
+
+def test_lines_of_rows_without_ids(spark):
+    rows = [(None, "a b c\nx y z", "", "", 0), (None, "a b c", "", "", 0), (1, "a b c\nq r", "", "", 0), (1, "q r", "", "", 0)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r["doc_id"] or 0, r["n_lines"], r["n_removed"]) for r in line_duplicates(table).collect())
+    # Equal lines under one id and number are one line.
+    assert got == [(0, 3, 0), (0, 3, 0), (1, 3, 2), (1, 3, 2)]
+    assert sorted(r["text"] for r in drop_repeated_lines(table.limit(3)).collect()) == ["a b c", "a b c\nx y z", "q r"]
+
+
 def test_passages_edges(spark, empty):
     assert drop_repeated_passages(empty).count() == 0
     text = said(random.Random(1), 60)
