@@ -185,7 +185,9 @@ def matched_spans(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
     texts = docs.join(light(marks), "doc_id").select("doc_id", "text", "marks")
     parts = written(arrow_map(texts, cut, f"owner {kind_of(docs)}, doc_id {kind_of(docs)}, start int, part string"), "parts")
     shards = parts.where("owner = doc_id").groupBy("owner").agg(F.sort_array(F.collect_set("part")).alias("shard"))
-    pairs = parts.where("owner < doc_id").join(shards, "owner").select("owner", "shard", "doc_id", "start", "part")
+    # Written, so that the join is by itself in its stage and the parts that repeat one owner can be split.
+    shards = written(shards, "shards")
+    pairs = parts.where("owner < doc_id").join(light(shards), "owner").select("owner", "shard", "doc_id", "start", "part")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[object, SuffixAutomaton] = {}
