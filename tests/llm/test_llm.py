@@ -451,6 +451,14 @@ def test_ids_of_text_and_columns_of_other_names(spark):
     assert {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in lines} == {"d0": (1, 0), "d1": (1, 0), "d2": (1, 0), "d3": (0, 0), "d4": (0, 0), "d5": (1, 1)}
 
 
+def test_lines_of_different_texts_under_one_id(spark):
+    """Lines of one id and number are each judged by their own words."""
+    rows = [(3, "a b c d e"), (7, "a b c d"), (7, "p q r s"), (8, "p q r s t"), (9, "u v w x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_lines"], r["n_removed"], r["n_links"]) for r in line_duplicates(table).collect())
+    assert got == [(3, 1, 0, 1), (7, 2, 1, 2), (7, 2, 1, 2), (8, 1, 1, 1), (9, 1, 0, 0)]
+
+
 def test_lines_of_rows_without_ids(spark):
     rows = [(None, "a b c\nx y z", "", "", 0), (None, "a b c", "", "", 0), (1, "a b c\nq r", "", "", 0), (1, "q r", "", "", 0)]
     table = spark.createDataFrame(rows, SCHEMA)
