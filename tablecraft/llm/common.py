@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,6 +18,8 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 #: The same by the bytes of a written table's files, for rows with arrays.
 BROADCAST_BYTES = 32_000_000
+#: Texts of a batch become Python objects in parts of about so many bytes.
+PART_BYTES = 4_000_000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -79,10 +82,27 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, in parts of about ``PART_BYTES``."""
+    for batch in batches:
+        step = max(1, batch.num_rows * PART_BYTES // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system; a worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def arrow_map(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str
+    df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, whole: bool = True
 ) -> DataFrame:
-    """``mapInArrow`` for functions that give the columns of one batch as a dict."""
+    """``mapInArrow`` for functions that give the columns of one batch as a dict; without ``whole`` batches come in parts."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -94,10 +114,11 @@ def arrow_map(
         return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, type=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches if whole else parts(batches):
             got = fn(batch)
             if got is not None:
                 columns = [column(got[f.name], f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        release()
 
     return df.mapInArrow(run, kind)

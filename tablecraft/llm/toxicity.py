@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, small, text_or_empty, written
+from .common import arrow_map, parts, small, text_or_empty, written
 
 DISCOUNT = 0.75
 #: Evidence below this log ratio is left to the mean.
@@ -123,7 +123,7 @@ def fit_toxicity(
     rows = training_rows(docs, labels, per_class, calibrating, id_col, text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts, toxic, folds = (c.to_pylist() for c in batch.columns)
             held = [(t, y) for t, y, f in zip(texts, toxic, folds, strict=True) if f == CALIBRATION]
             n = [Counter(), Counter()]
@@ -182,7 +182,7 @@ def document_counts(docs: DataFrame, text_col: str) -> DataFrame:
         def counts() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
 
-        for batch in batches:
+        for batch in parts(batches):
             for text in batch.column(0).to_pylist():
                 n.update(set(expressions(text)))
                 if len(n) > HELD_EXPRESSIONS:
@@ -205,7 +205,7 @@ def with_features(docs: DataFrame, model: ToxicityModel, text_col: str, columns:
             return dict(zip(columns, batch.columns, strict=False)) | {"__x": found}
 
         kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns]
-        return arrow_map(at, of, ", ".join([*kinds, "__x array<double>"]))
+        return arrow_map(at, of, ", ".join([*kinds, "__x array<double>"]), whole=False)
     # Features depend on the text alone, so they are joined by its digest; equal texts are read once.
     digest = F.sha2(text_or_empty(text_col), 256)
     texts = docs.select(digest.alias("__sha"), text_or_empty(text_col).alias("text")).dropDuplicates(["__sha"])
@@ -254,7 +254,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             yield batch.filter(pa.array([carried.value.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
