@@ -213,6 +213,7 @@ def pieces_of(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")),
         cut,
         f"id {kind}, piece int, start long, length long, ids_crc32 long, rank long, dealt int",
+        whole=False,
     )
 
 
