@@ -41,6 +41,18 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_with_where_has_loads_all(spark, sf_dir, tmp_path):
+    n = 1_000_003
+    for path in glob.glob(f"{sf_dir}/*.parquet"):
+        if not path.endswith("/orders.parquet"):
+            (tmp_path / os.path.basename(path)).symlink_to(path)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    many = spark.range(n).selectExpr("id AS o_orderkey", "id % 3 + 1 AS o_custkey", "'P' AS o_orderstatus", "1D AS o_totalprice")
+    many.unionByName(orders.limit(0), allowMissingColumns=True).write.parquet(f"{tmp_path}/orders.parquet")
+    got = entry.queries()["with_where_has"](spark, str(tmp_path)).collect()
+    assert sorted(r["n"] for r in got) == [n // 3, n // 3, n // 3 + 1]
+
+
 def test_filters_reach_the_scan(spark, sf_dir):
     for name, pushed in [("filter_year_eq", "GreaterThanOrEqual(o_orderdate"), ("filter_eq", "EqualTo(p_size"), ("filter_like_starts", "StringStartsWith(p_type")]:
         plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
