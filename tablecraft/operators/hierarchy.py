@@ -41,7 +41,7 @@ class Hierarchy:
         """``Key, ParentKey, Depth`` (and ``Path``, when visited nodes are skipped) below a root, or below all roots.
 
         Without a root the walk starts at rows without a parent. The walk is one
-        plan; ``max_recursion`` 0 means no limit.
+        plan, evaluated once, with any number of rows; ``max_recursion`` 0 means no limit.
         """
         if max_depth is not None and max_depth < 0:
             raise ArgumentError("a depth is not negative")
@@ -63,21 +63,23 @@ class Hierarchy:
             )
             SELECT k AS Key, p AS ParentKey, depth AS Depth{', path AS Path' if skip else ''} FROM t
         """
-        before = spark.conf.get("spark.sql.cteRecursionLevelLimit")
-        if not max_recursion:
-            spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
+        # Spark ends a walk at a level and, by default, at a million rows, whichever comes first; only the level is asked for here.
+        # Both settings are read when the walk runs, so it runs here.
+        lifted = ["spark.sql.cteRecursionRowLimit", *([] if max_recursion else ["spark.sql.cteRecursionLevelLimit"])]
+        before = {name: spark.conf.get(name) for name in lifted}
+        for name in lifted:
+            spark.conf.set(name, "-1")
         try:
-            walk = spark.sql(text, nodes=nodes)
-            if not max_recursion:
-                walk = engine.settled(walk)
+            walk = engine.settled(spark.sql(text, nodes=nodes))
         finally:
-            spark.conf.set("spark.sql.cteRecursionLevelLimit", before)
+            for name, value in before.items():
+                spark.conf.set(name, value)
         return walk if include_root else walk.where("Depth > 0")
 
     def checked(self, engine: Any, **options: Any) -> DataFrame:
-        """The walk, evaluated, so that a cycle is an error here and not later or never."""
+        """The walk, with an error of this package for a cycle."""
         try:
-            return engine.settled(self.descendants(engine, **options))
+            return self.descendants(engine, **options)
         except Exception as e:
             if "RECURSION_LEVEL_LIMIT_EXCEEDED" in str(e) or isinstance(e, AnalysisException) and "RECURSION" in str(e):
                 raise RecursionLimitError(f"{self.name} did not end within its limit; is there a cycle?") from e

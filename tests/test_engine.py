@@ -302,6 +302,18 @@ def test_hierarchy(engine, spark):
         from_("w").with_recursive_cte("w", from_("ring").where(Col("id").eq(1)).select("id"), step, ["id"], 3).get(engine)
 
 
+def test_hierarchy_of_more_rows_than_spark_allows(engine, spark):
+    name = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(name)
+    engine.register("wide", spark.range(1, 41).selectExpr("CAST(id AS INT) AS id", "CAST(nullif(id DIV 3, 0) AS INT) AS up"))
+    spark.conf.set(name, "10")
+    try:
+        assert Hierarchy("wide", "id", "up").descendants(engine).count() == 40
+        assert spark.conf.get(name) == "10"
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_observer(engine):
     recorder = Recorder()
     observed(engine, recorder)
