@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ from .common import arrow_map, light, written
 from .shingles import hashed_each, mixed, words_of
 
 GRAM = 8
+#: Stretches of a minimizer that more documents have are not gathered in one task.
+HOT = 4096
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -131,40 +134,120 @@ def kind_of(docs: DataFrame) -> str:
     return docs.schema["doc_id"].dataType.simpleString()
 
 
+def stretches(batch: pa.RecordBatch, window: int) -> dict:
+    """``doc_id, low, at, r``: consecutive runs of words with one of the wanted minimizers, and their hashes."""
+    rows, lows, at, sizes, hashes = [], [], [], [], []
+    for row, (hashed, wanted) in enumerate(zip(hashed_each(batch.column(1).to_pylist()), batch.column(2).to_pylist(), strict=True)):
+        if len(hashed) < window:
+            continue
+        low = minimizers(hashed, window).view(np.int64)
+        inside = np.isin(low, wanted)
+        starts = np.flatnonzero(inside)
+        if not len(starts):
+            continue
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(starts) > 1) | (np.diff(low[starts]) != 0)]))
+        rows.append(np.full(len(first), row, dtype=np.int64))
+        lows.append(low[starts[first]])
+        at.append(starts[first].astype(np.int32))
+        sizes.append(np.diff(first, append=len(starts)))
+        hashes.append(run_hashes(hashed, window, 1)[starts].view(np.int64))
+    cat = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
+    offsets = np.concatenate([[0], np.cumsum(cat(sizes, np.int64))])
+    r = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(cat(hashes, np.int64)))
+    return {"doc_id": batch.column(0).take(pa.array(cat(rows, np.int64))), "low": cat(lows, np.int64), "at": cat(at, np.int32), "r": r}
+
+
+def owned_stretches(found: pa.Table) -> dict:
+    """``doc_id, owner, start, runs`` of stretches sorted by minimizer and document, all of a minimizer together.
+
+    Runs are equal if their minimizers and their hashes are, 128 bits.
+    """
+    docs, low, at = found.column("doc_id").combine_chunks(), found.column("low").to_numpy(), found.column("at").to_numpy()
+    r = found.column("r").combine_chunks()
+    sizes = np.diff(r.offsets.to_numpy())
+    hashes = r.flatten().to_numpy()
+    group = np.cumsum(np.concatenate([[0], low[1:] != low[:-1]]))
+    other = pc.not_equal(docs.slice(1), docs.slice(0, max(len(docs) - 1, 0))).to_numpy(zero_copy_only=False)
+    doc = np.cumsum(np.concatenate([[0], (other | (low[1:] != low[:-1])).astype(np.int64)]))
+    row = np.repeat(np.arange(len(low)), sizes)
+    start = at[row] + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    # Stable: within equal runs the rows, and so the documents, are in their order.
+    order = np.lexsort((hashes, group[row]))
+    h, g = hashes[order], group[row][order]
+    first = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
+    heads = np.flatnonzero(first)
+    tails = np.append(heads[1:], len(order)) - 1
+    which = np.cumsum(first) - 1
+    head, tail = row[order][heads], row[order][tails]
+    owner = np.full(len(order), -1, dtype=np.int64)
+    owner[order] = np.where(doc[head] != doc[tail], head, -1)[which]
+    kept = np.flatnonzero(owner >= 0)
+    row, start, owner = row[kept], start[kept], owner[kept]
+    own = doc[owner]
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1) | (own[1:] != own[:-1])])) if len(row) else kept
+    return {"doc_id": docs.take(pa.array(row[new])), "owner": docs.take(pa.array(owner[new])), "start": start[new], "runs": np.diff(new, append=len(row))}
+
+
+def by_minimizer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``owned_stretches`` of a sorted partition, in parts that end where a minimizer does."""
+    held: list[pa.RecordBatch] = []
+
+    def told(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        got = owned_stretches(pa.Table.from_batches(parts))
+        kinds = [parts[0].schema.field("doc_id").type] * 2 + [pa.int32()] * 2
+        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(got.values(), kinds, strict=True)], names=list(got))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        low = batch.column(1).to_numpy(zero_copy_only=False)
+        if held and held[-1].column(1)[-1].as_py() != low[0]:
+            yield told(held)
+            held = []
+        cut = int(np.searchsorted(low, low[-1]))
+        if cut:
+            yield told([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield told(held)
+
+
 def repeated_runs(docs: DataFrame, owners: DataFrame, window: int) -> DataFrame:
     """``doc_id, owner, start, runs``: consecutive runs of words of a document with one owner.
 
-    ``owner`` is the smallest of the documents that have them; its own are there too.
+    ``owner`` is the smallest of the documents that have them; its own are there
+    too. Equal runs have one minimizer, so stretches of runs are dealt by it,
+    once. Those of a minimizer that more than ``HOT`` documents have are dealt
+    run by run, and joined with their owners in a way that Spark can split.
     """
     hashes = owners.select("owner", F.explode("low").alias("low"))
-    shared = hashes.groupBy("low").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).where("a < b").select("low")
-    marked = hashes.join(shared, "low").groupBy(F.col("owner").alias("doc_id")).agg(F.collect_set("low").alias("low"))
+    shared = hashes.groupBy("low").agg(F.min("owner").alias("a"), F.max("owner").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b")
+    marked = hashes.join(shared, "low").groupBy(F.col("owner").alias("doc_id")).agg(
+        F.collect_set("low").alias("low"), F.collect_set(F.when(F.col("n") > HOT, F.col("low"))).alias("hot")
+    )
     marked = written(marked, "marked")
-
-    def runs(batch: pa.RecordBatch) -> dict:
-        rows, at, r0, r1 = [], [], [], []
-        for row, (hashed, low) in enumerate(zip(hashed_each(batch.column(1).to_pylist()), batch.column(2).to_pylist(), strict=True)):
-            if len(hashed) < window:
-                continue
-            starts = np.flatnonzero(np.isin(minimizers(hashed, window).view(np.int64), low))
-            rows.append(np.full(len(starts), row, dtype=np.int64))
-            at.append(starts.astype(np.int32))
-            r0.append(run_hashes(hashed, window, 1)[starts].view(np.int64))
-            r1.append((run_hashes(hashed, window, 2)[starts] >> np.uint64(32)).astype(np.int64))
-        cat = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-        return {"doc_id": batch.column(0).take(pa.array(cat(rows, np.int64))), "at": cat(at, np.int32), "r0": cat(r0, np.int64), "r1": cat(r1, np.int64)}
-
-    texts = docs.join(light(marked), "doc_id").select("doc_id", "text", "low")
-    found = written(arrow_map(texts, runs, f"doc_id {kind_of(docs)}, at int, r0 long, r1 long"), "runs")
-    owned = found.groupBy("r0", "r1").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
-    # Written, so that the join is by itself in its stage and a passage that many documents have can be split.
-    owned = written(owned.where("owner < last").drop("last"), "owned")
-    placed = found.join(light(owned), ["r0", "r1"]).select("doc_id", "at", "owner")
-    order = Window.partitionBy("doc_id", "owner").orderBy("at")
-    island = placed.withColumn("island", F.col("at") - F.dense_rank().over(order))
-    return island.groupBy("doc_id", "owner", "island").agg(
-        F.min("at").alias("start"), (F.max("at") - F.min("at") + 1).alias("runs")
-    ).drop("island")
+    texts = docs.join(light(marked.drop("hot")), "doc_id").select("doc_id", "text", "low")
+    kind = kind_of(docs)
+    found = written(arrow_map(texts, lambda b: stretches(b, window), f"doc_id {kind}, low long, at int, r array<long>"), "runs")
+    hot = written(marked.select(F.explode("hot").alias("low")).distinct(), "hot")
+    cold = found.join(light(hot), "low", "left_anti").select("doc_id", "low", "at", "r")
+    placed = cold.repartition("low").sortWithinPartitions("low", "doc_id").mapInArrow(by_minimizer, f"doc_id {kind}, owner {kind}, start int, runs int")
+    placed = written(placed, "placed")
+    if not hot.isEmpty():
+        each = found.join(light(hot), "low").select("doc_id", "low", "at", F.posexplode("r").alias("k", "r0"))
+        each = written(each.select("doc_id", (F.col("at") + F.col("k")).alias("start"), "low", "r0"), "each")
+        owned = each.groupBy("low", "r0").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
+        # Written, so that the join is by itself in its stage and a passage that many documents have can be split.
+        owned = written(owned.where("owner < last").drop("last"), "owned")
+        more = each.join(light(owned), ["low", "r0"]).select("doc_id", "owner", "start", F.lit(1).alias("runs"))
+        placed = placed.unionByName(more)
+    end = F.col("start") + F.col("runs")
+    order = Window.partitionBy("doc_id", "owner").orderBy("start", "runs")
+    ahead = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = placed.withColumn("new", F.coalesce(F.col("start") > ahead, F.lit(True)).cast("int"))
+    island = new.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return island.groupBy("doc_id", "owner", "island").agg(F.min("start").alias("start"), (F.max(end) - F.min("start")).alias("runs")).drop("island")
 
 
 def matched_spans(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tablecraft.llm import flac
+from tablecraft.llm import flac, substrings
 from tablecraft.llm.chat import format_chats
 from tablecraft.llm.components import components
 from tablecraft.llm.exact import CHUNK, Polynomial, chunk_fingerprints, exact_duplicates, fingerprints
@@ -434,6 +434,30 @@ def test_passages(docs, window):
         assert r["kept_text"] == " ".join(kept[i])
 
 
+def test_passages_of_many_documents(docs, monkeypatch):
+    """Runs whose minimizer many documents have are dealt one by one, with the same results."""
+    monkeypatch.setattr(substrings, "HOT", 2)
+    _, kept = brute_passages(corpus(), 12)
+    assert {i: r["kept_text"] for i, r in rows_of(drop_repeated_passages(docs, 12)).items()} == {i: " ".join(w) for i, w in kept.items()}
+
+
+def test_passages_are_dealt_by_stretches(spark, monkeypatch):
+    """What is dealt is a row per stretch of runs, not per run, and runs without an equal are not dealt again."""
+    rng = random.Random(4)
+    passage, sizes = said(rng, 600), {}
+
+    def recorded(df, name, write=substrings.written):
+        out = write(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(substrings, "written", recorded)
+    rows = [(i, f"{said(rng, 60)} {passage} {said(rng, 60)}", "", "", 0) for i in range(3)]
+    got = rows_of(drop_repeated_passages(spark.createDataFrame(rows, SCHEMA)))
+    assert [got[i]["n_removed"] for i in range(3)] == [0, 600, 600]
+    assert sizes["runs"] < 3 * 100 and sizes["repeated"] == 3
+
+
 def test_ids_of_text_and_columns_of_other_names(spark):
     """Ids may be texts; columns named like the operators' own are not looked at; very long texts are whole."""
     rng = random.Random(2)
