@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from .common import arrow_map, written
 from .shingles import Words
 
-#: An encoder forgets what it has seen beyond so many parts; longer ones are not kept.
-CACHED_PARTS = 1_500_000
+#: An encoder forgets parts it has met in one run of texts beyond so many, and in several beyond so many; longer ones are not kept.
+NEW_PARTS = 150_000
+CACHED_PARTS = 400_000
 CACHED_LENGTH = 64
 #: Marks that can follow a word; not the apostrophe, which begins some of the tokenizer's words.
 TAILS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -56,6 +57,7 @@ class WordEncoder:
             tokenizer = str(public_tokenizers.path(tokenizer))
         self.tokenizer = Tokenizer.from_file(tokenizer)
         self.parts: dict[bytes, bytes] = {}
+        self.new_parts: dict[bytes, bytes] = {}
         size = self.tokenizer.get_vocab_size()
         tokens = map(self.tokenizer.id_to_token, range(size))
         self.ends = np.array([(t or "").endswith("</w>") for t in tokens])
@@ -102,12 +104,20 @@ class WordEncoder:
         distinct, number = words.distinct()
         ids = list(map(self.parts.get, distinct))
         missing = [i for i, x in enumerate(ids) if x is None]
+        # Most distinct parts of a corpus occur once or twice; only those met again are kept for long.
+        if len(self.parts) > CACHED_PARTS:
+            self.parts.clear()
+        for i in missing:
+            again = self.new_parts.pop(distinct[i], None)
+            if again is not None:
+                ids[i] = self.parts[distinct[i]] = again
+        missing = [i for i in missing if ids[i] is None]
         new = [distinct[i] for i in missing]
         for i, x in zip(missing, self._learn(new), strict=True):
             ids[i] = x
-        if len(self.parts) + len(new) > CACHED_PARTS:
-            self.parts.clear()
-        self.parts.update((p, ids[i]) for p, i in zip(new, missing, strict=True) if len(p) <= CACHED_LENGTH)
+        if len(self.new_parts) + len(new) > NEW_PARTS:
+            self.new_parts.clear()
+        self.new_parts.update((p, ids[i]) for p, i in zip(new[:NEW_PARTS], missing, strict=False) if len(p) <= CACHED_LENGTH)
         lengths = np.array([len(x) // 4 for x in ids], dtype=np.int64)
         store = np.frombuffer(b"".join(ids), dtype="<u4")
         each = lengths[number]
@@ -125,8 +135,8 @@ def encoder_for(tokenizer: str) -> WordEncoder:
     return WordEncoder(tokenizer)
 
 
-def by_size(texts: list[str | None], most: int = 4_000_000) -> Iterator[list[str]]:
-    """Runs of texts of some four million characters; null counts as empty."""
+def by_size(texts: list[str | None], most: int = 1_000_000) -> Iterator[list[str]]:
+    """Runs of texts of some million characters; null counts as empty."""
     run: list[str] = []
     held = 0
     for text in texts:

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tablecraft.llm import flac, substrings
+from tablecraft.llm import flac, packing, substrings
 from tablecraft.llm.chat import format_chats
 from tablecraft.llm.components import components
 from tablecraft.llm.exact import CHUNK, Polynomial, chunk_fingerprints, exact_duplicates, fingerprints
@@ -320,6 +320,19 @@ def test_encoder_is_the_tokenizer():
         assert np.frombuffer(got, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_forgets_parts_met_once(monkeypatch):
+    """What an encoder holds is bounded, and what it forgets is encoded again with equal results."""
+    monkeypatch.setattr(packing, "NEW_PARTS", 30)
+    monkeypatch.setattr(packing, "CACHED_PARTS", 40)
+    encoder, rng, often = WordEncoder("word_bpe_49k.json"), random.Random(6), [f"again{i}" for i in range(60)]
+    for turn in range(12):
+        text = " ".join([*rng.sample(often, 9), *(f"once{turn}x{i}," for i in range(20))])
+        ids = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == ids
+        assert len(encoder.new_parts) <= 30 and len(encoder.parts) <= 40 + 9 and not any(p.startswith(b"once") for p in encoder.parts)
+    assert encoder.parts and [len(x) for x in packing.by_size(["a" * 600_000] * 4)] == [2, 2]
+
+
 # --- 5. Secrets.
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
