@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 
 from tablecraft.llm import flac, packing, substrings
 from tablecraft.llm.chat import format_chats
+from tablecraft.llm.common import written
 from tablecraft.llm.components import components
 from tablecraft.llm.exact import CHUNK, Polynomial, chunk_fingerprints, exact_duplicates, fingerprints
 from tablecraft.llm.lines import drop_repeated_lines, line_duplicates
@@ -691,6 +692,25 @@ def test_components(spark, edges):
     assert {r["node"]: r["component"] for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize("task_links", [400_000, 60, 0])
+def test_components_of_few_links_take_one_job(spark, monkeypatch, kind, task_links):
+    """Rounds over a long path write a table for each step; one task ends them."""
+    import tablecraft.llm.components as c
+
+    tables = []
+    monkeypatch.setattr(c, "written", lambda df, name: tables.append(name) or written(df, name))
+    rng = random.Random(7)
+    nodes = rng.sample(range(1000), 200)
+    rows = [(a, b) for k in (0, 100) for a, b in zip(nodes[k : k + 99], nodes[k + 1 : k + 100], strict=True)] + [(None, 1), (5, 5)]
+    edges = spark.createDataFrame(rows, "a long, b long").selectExpr(f"cast(a as {kind}) a", f"cast(b as {kind}) b")
+    got = {r["node"]: r["component"] for r in c.components(edges, task_links=task_links).collect()}
+    least = min if kind == "long" else (lambda xs: min(map(str, xs)))
+    name = int if kind == "long" else str
+    assert got == {name(n): least(part) for part in (nodes[:100], nodes[100:]) for n in part}
+    assert len(tables) <= 2 or task_links < 400_000
+
+
 # --- The pipeline.
 
 
