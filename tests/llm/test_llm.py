@@ -187,6 +187,24 @@ def test_lines_by_words_against_brute_force(docs):
             assert sum(links.values()) > 50
 
 
+def test_long_lines_of_other_words_are_no_candidates(spark, monkeypatch):
+    """64 parities hardly tell sets of a hundred words apart; those that do lose no link."""
+    import tablecraft.llm.lines as lines
+
+    tables = {}
+    monkeypatch.setattr(lines, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    rng = random.Random(11)
+    sets = [rng.sample(WORDS, n) for n in (30, 45, 99, 100, 130) for _ in range(24)]
+    # Near copies across the sizes at which parities get finer.
+    sets += [s[: len(s) - k] + [f"y{i}" for i in range(j)] for s in sets[::3] for k, j in ((1, 0), (6, 0), (4, 8))]
+    rows = [(i, " ".join(s), "", "", 0) for i, s in enumerate(sets)]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len({*sets[i]} & {*sets[j]}) >= 75 * len({*sets[i]} | {*sets[j]})}
+    got = line_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    ends = Counter(i for pair in want for i in pair)
+    assert {r["doc_id"]: r["n_links"] for r in got} == {i: ends[i] for i in range(len(sets))}
+    assert len(want) <= tables["candidates"].count() <= 2 * len(want)
+
+
 def test_lines_are_dropped(spark):
     rows = [(1, "a b c d\nx\n\nlast", "", "", 0), (2, "q r s\na b  c d\nx\n", "", "", 0), (3, None, "", "", 0)]
     got = rows_of(drop_repeated_lines(spark.createDataFrame(rows, SCHEMA)))
