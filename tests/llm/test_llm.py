@@ -205,6 +205,32 @@ def test_long_lines_of_other_words_are_no_candidates(spark, monkeypatch):
     assert len(want) <= tables["candidates"].count() <= 2 * len(want)
 
 
+def test_links_of_near_equal_lines_are_counted_unpaired(spark, monkeypatch):
+    """A group's links are as many as its pairs; few of them are paired, and none is lost or counted twice."""
+    import tablecraft.llm.lines as lines
+
+    tables = {}
+    monkeypatch.setattr(lines, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    rng = random.Random(19)
+    base, rows = [[f"w{g}x{i}" for i in range(45)] for g in range(2)], []
+    for i in range(160):
+        words = list(base[i % 2])
+        for _ in range(rng.choice((1, 1, 2, 2, 3, 4, 6))):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(400)}"
+        rows.append((i // 2 if i % 10 else None, " ".join(words[: rng.choice((45, 45, 44, 40))]), "", "", 0))
+    rows = [(i, "\n".join(t for j, t, *_ in rows if j == i), "", "", 0) for i in sorted({r[0] for r in rows}, key=lambda x: (x is not None, x))]
+    sets = [(i, n, frozenset(x.split())) for i, t, *_ in rows for n, x in enumerate(t.split("\n"))]
+    alike = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    links, gone, pairs = Counter(), Counter(), 0
+    for k, (i, _, s) in enumerate(sets):
+        links[i] += (met := sum(alike(s, o) for o in {o for *_, o in sets} if o != s))
+        gone[i] += any(alike(s, o) for *_, o in sets[:k])
+        pairs += met
+    got = line_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r["doc_id"]: (r["n_links"], r["n_removed"]) for r in got} == {i: (links[i], gone[i]) for i, *_ in rows}
+    assert pairs / 2 > 2000 and tables["links"].count() < pairs / 2 / 4
+
+
 def test_lines_are_dropped(spark):
     rows = [(1, "a b c d\nx\n\nlast", "", "", 0), (2, "q r s\na b  c d\nx\n", "", "", 0), (3, None, "", "", 0)]
     got = rows_of(drop_repeated_lines(spark.createDataFrame(rows, SCHEMA)))
